@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -34,13 +35,13 @@ def node_set(arcs: DataFrame) -> DataFrame:
     return arcs.select(*K, ends).distinct()
 
 
-def undirected_pairs(arcs: DataFrame, weight: str = "max", loops: bool = False) -> DataFrame:
+def undirected_pairs(arcs: DataFrame, weight: str = "max", loops: bool = False, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Unordered pairs (a ≤ b) with flags for the two directions.
 
     The weight is that of the heavier arc, or with ``weight="sum"`` of both.
     """
     merged = F.sum("weight") if weight == "sum" else F.max("weight")
-    pairs = (arcs.groupBy(*K, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    pairs = (arcs.groupBy(*keys, F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
              .agg(merged.alias("weight"),
                   F.max(F.when(F.col("source") <= F.col("target"), 1).otherwise(0)).alias("forward"),
                   F.max(F.when(F.col("source") >= F.col("target"), 1).otherwise(0)).alias("backward")))
@@ -59,21 +60,21 @@ def induced(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class Links:
-    """Adjacency laid out by node for message passing.
+    """Adjacency (``keys`` … ``node_id``, ``other``, …) laid out by node for message passing.
 
     A node whose links exceed ``slot_rows`` is split over several slots, and its messages
     are copied to each, so that no task receives more than about ``slot_rows`` links of a hub.
     """
 
-    def __init__(self, links: DataFrame, slot_rows: int = SLOT_ROWS):
-        on = [*K, "node_id"]
-        self.hot = hot_keys(links, on, slot_rows)
-        self.on = on if self.hot is None else [*on, SLOT]
-        self.frame = split(links, on, self.hot).repartition(width(links.sparkSession), *self.on).persist()
+    def __init__(self, links: DataFrame, slot_rows: int = SLOT_ROWS, keys: tuple[str, ...] = ("node_id",)):
+        self.keys = list(keys)
+        self.hot = hot_keys(links, self.keys, slot_rows)
+        self.on = self.keys if self.hot is None else [*self.keys, SLOT]
+        self.frame = split(links, self.keys, self.hot).repartition(width(links.sparkSession), *self.on).persist()
 
     def send(self, state: DataFrame) -> DataFrame:
         """Rows of ``state`` copied along their node's links: adds ``other`` and the link's columns."""
-        return replicate(state, [*K, "node_id"], self.hot).join(self.frame, self.on).drop(SLOT)
+        return replicate(state, self.keys, self.hot).join(self.frame, self.on).drop(SLOT)
 
     def close(self) -> None:
         self.frame.unpersist()
@@ -82,13 +83,23 @@ class Links:
 class GraphSet:
     """Graphs of all months, with the frames that several metrics share.
 
-    The frames are written once on first use; ``close`` frees the cached adjacency.
+    Graphs and nodes get numbers: ``gid`` and a node number that is unique over all graphs
+    and rises with (graph, month, node id). Loops and triangle counts move these numbers
+    only; ``named`` puts the names back. Frames are written once, on first use; ``close``
+    frees the cached adjacency.
     """
 
     def __init__(self, edges: DataFrame, on_duplicate: str = "last", slot_rows: int = SLOT_ROWS):
         self.slot_rows = slot_rows
-        self.arcs = settle(simple_arcs(edges, on_duplicate))
+        self.arcs = settle(simple_arcs(edges, on_duplicate), "arcs")
         self._links: dict[str, Links] = {}
+        self._results: dict[object, DataFrame] = {}
+
+    def once(self, name: object, make: Callable[[], DataFrame]) -> DataFrame:
+        """A result that several metrics rest on, computed and written on first use."""
+        if name not in self._results:
+            self._results[name] = settle(make(), "result")
+        return self._results[name]
 
     def __enter__(self) -> GraphSet:
         return self
@@ -102,26 +113,84 @@ class GraphSet:
         self._links.clear()
 
     @cached_property
+    def graphs(self) -> DataFrame:
+        """Graph, month and ``gid``."""
+        return settle(self.arcs.select(*K).distinct().orderBy(*K).withColumn("gid", F.monotonically_increasing_id()), "graphs")
+
+    @cached_property
+    def months(self) -> int:
+        """Number of graphs."""
+        return self.graphs.count()
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        """Graph, month, node id, ``gid`` and node number ``vid``: rows of a global sort, numbered in order."""
+        nodes = with_small(node_set(self.arcs), self.graphs, K, rows=self.months)
+        return settle(nodes.orderBy("gid", "node_id").withColumn("vid", F.monotonically_increasing_id()), "nodes")
+
+    @property
     def nodes(self) -> DataFrame:
-        return settle(node_set(self.arcs))
+        return self.numbered.select(*K, "node_id")
 
     @cached_property
     def node_rows(self) -> int:
-        return self.nodes.count()
+        return self.numbered.count()
+
+    @property
+    def ids(self) -> DataFrame:
+        """``gid`` and ``node_id`` as numbers."""
+        return self.numbered.select("gid", F.col("vid").alias("node_id"))
 
     @cached_property
-    def months(self) -> int:
-        """Number of graphs."""
-        return self.arcs.select(*K).distinct().count()
+    def arc_rows(self) -> int:
+        return self.arcs.count()
 
-    def join_month(self, df: DataFrame, per_month: DataFrame, how: str = "inner") -> DataFrame:
-        """Join a frame with one row per graph to any other frame."""
-        return with_small(df, per_month, K, how, self.months)
+    @cached_property
+    def coded(self) -> DataFrame:
+        """Arcs between node numbers."""
+        arcs = self.arcs.select(*K, "source", "target", "weight")
+        for end in ("source", "target"):
+            one = self.numbered.select(*K, F.col("node_id").alias(end), F.col("vid").alias(f"{end}_vid"), F.col("gid").alias(f"{end}_gid"))
+            arcs = hot_join(arcs, one, [*K, end], rows=self.arc_rows, slot_rows=self.slot_rows)
+        return settle(arcs.select(F.col("source_gid").alias("gid"), F.col("source_vid").alias("source"),
+                                  F.col("target_vid").alias("target"), "weight"), "coded")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """Undirected pairs without self-loops."""
-        return settle(undirected_pairs(self.arcs))
+        """Undirected pairs of node numbers, self-loops included (``a = b``)."""
+        return settle(undirected_pairs(self.coded, keys=("gid",), loops=True), "pairs")
+
+    @property
+    def simple_pairs(self) -> DataFrame:
+        """Undirected pairs of node numbers without self-loops."""
+        return drop_selfloops(self.pairs)
+
+    def join_month(self, df: DataFrame, per_month: DataFrame, how: str = "inner") -> DataFrame:
+        """Join a frame with one row per graph to any other frame, by graph and month or by ``gid``."""
+        on = ["gid"] if "gid" in per_month.columns else K
+        return with_small(df, per_month, on, how, self.months)
+
+    def by_graph(self, per_gid: DataFrame, how: str = "inner") -> DataFrame:
+        """One row per graph: ``gid`` gives way to graph and month; ``how="right"`` keeps graphs without a row."""
+        return per_gid.join(F.broadcast(self.graphs) if how == "inner" else self.graphs, "gid", how).select(
+            *K, *[c for c in per_gid.columns if c != "gid"])
+
+    def named(self, df: DataFrame, *labels: str) -> DataFrame:
+        """Names for ``node_id`` and for ``labels`` that hold node numbers."""
+        rest = [c for c in df.columns if c not in ("gid", "node_id")]
+        out = df.select("node_id", *rest).join(
+            self.numbered.select(F.col("vid").alias("node_id"), *K, F.col("node_id").alias("name")), "node_id")
+        out = out.select(*K, F.col("name").alias("node_id"), *rest)
+        for label in labels:
+            one = self.numbered.select(F.col("vid").alias(label), F.col("node_id").alias("name"))
+            out = hot_join(out, one, [label], rows=self.node_rows, slot_rows=self.slot_rows).select(
+                *[F.col("name").alias(c) if c == label else F.col(c) for c in out.columns])
+        return out
+
+    def numbers_of(self, df: DataFrame) -> DataFrame:
+        """The reverse of ``named`` for a frame with one row per node."""
+        rest = [c for c in df.columns if c not in (*K, "node_id")]
+        return df.join(self.numbered, [*K, "node_id"]).select("gid", F.col("vid").alias("node_id"), *rest)
 
     def _kept(self, name: str, links) -> Links:
         if name not in self._links:
@@ -131,18 +200,20 @@ class GraphSet:
     @property
     def out_links(self) -> Links:
         """From source to target."""
-        return self._kept("out", lambda: self.arcs.select(
-            *K, F.col("source").alias("node_id"), F.col("target").alias("other"), "weight"))
+        return self._kept("out", lambda: self.coded.select(F.col("source").alias("node_id"), F.col("target").alias("other"), "weight"))
 
     @property
     def in_links(self) -> Links:
         """From target back to source."""
-        return self._kept("in", lambda: self.arcs.select(
-            *K, F.col("target").alias("node_id"), F.col("source").alias("other"), "weight"))
+        return self._kept("in", lambda: self.coded.select(F.col("target").alias("node_id"), F.col("source").alias("other"), "weight"))
 
     @property
     def pair_links(self) -> Links:
         """Both ways along the undirected pairs."""
-        ends = F.inline(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")),
-                                F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
-        return self._kept("pair", lambda: self.pairs.select(*K, ends, "weight"))
+        return self._kept("pair", lambda: self.simple_pairs.select(both_ways()))
+
+
+def both_ways():
+    """A pair (a, b) as two links."""
+    return F.inline(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")),
+                            F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))

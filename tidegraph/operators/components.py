@@ -11,52 +11,56 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import safe_ratio
 from ..functions.skew import hot_join, with_small
 from ..session import settle, settle_flagged
-from .build import K, GraphSet, Links, induced
+from .build import K, GraphSet, Links, both_ways, induced
 
 N = [*K, "node_id"]
 
 
-def _hear(state: DataFrame, links: Links, label: str, same: list[str] = ()) -> DataFrame:
+def _hear(state: DataFrame, links: Links, label: str) -> DataFrame:
     """Smallest ``label`` that reaches each node over one link from a fresh node."""
-    sent = links.send(state.where("fresh").select(*N, label, *same))
-    return sent.groupBy(*K, F.col("other").alias("node_id"), *same).agg(F.min(label).alias("heard"))
+    sent = links.send(state.where("fresh").select(*links.keys, label))
+    return (sent.groupBy(*links.keys[:-1], F.col("other").alias("node_id")).agg(F.min(label).alias("heard")))
 
 
 def _flood(state: DataFrame, links: Links, label: str) -> DataFrame:
     """Carry the smallest label along ``links`` among the nodes of ``state`` until nothing changes."""
     state, going = settle_flagged(state.withColumn("fresh", F.lit(True)), "fresh")
     while going:
-        heard = _hear(state, links, label)
         better = F.coalesce(F.col("heard") < F.col(label), F.lit(False))
-        state, going = settle_flagged(state.join(heard, N, "left").select(
-            *[c for c in state.columns if c not in (label, "fresh")],
-            F.when(better, F.col("heard")).otherwise(F.col(label)).alias(label), better.alias("fresh")), "fresh")
+        state, going = settle_flagged(state.join(_hear(state, links, label), links.keys, "left").select(
+            *links.keys, F.when(better, F.col("heard")).otherwise(F.col(label)).alias(label), better.alias("fresh")), "fresh")
     return state.drop("fresh")
 
 
-def weak_components(g: GraphSet, nodes: DataFrame | None = None, links: Links | None = None) -> DataFrame:
-    """``component`` of every node: smallest label from the neighbours, with labels of labels as short cuts."""
-    links = links or g.pair_links
-    state = settle((nodes if nodes is not None else g.nodes).select(*N, F.col("node_id").alias("component"))
-                   .withColumn("fresh", F.lit(True)))
+def weak_labels(nodes: DataFrame, links: Links, slot_rows: int) -> DataFrame:
+    """Smallest node number of each node's component: labels of the neighbours, with labels of labels as short cuts."""
+    keys, above = links.keys, links.keys[:-1]
+    state = settle(nodes.select(*keys, F.col("node_id").alias("component")).withColumn("fresh", F.lit(True)))
     rows, going = state.count(), True
     while going:
-        heard = _hear(state, links, "component")
-        near = settle(state.join(heard, N, "left").select(
-            *N, F.col("component").alias("was"),
-            F.least("component", "heard").alias("component")))
+        near = state.join(_hear(state, links, "component"), keys, "left").select(
+            *keys, F.col("component").alias("was"), F.least("component", "heard").alias("component"))
+        # What a node hears also moves the node it is labelled by, so whole trees are hooked at once.
+        hooks = near.where(F.col("component") < F.col("was")).groupBy(*above, F.col("was").alias("node_id")).agg(
+            F.min("component").alias("hook"))
+        near = settle(near.join(hooks, keys, "left").select(*keys, "was", F.least("component", "hook").alias("component")))
         # Labels that have themselves a smaller label; the distinct set is small where labels are widely held.
-        held = near.select(*K, "component").distinct()
-        onward = (held.join(near.where(F.col("component") < F.col("node_id"))
-                            .select(*K, F.col("node_id").alias("component"), F.col("component").alias("next")),
-                            [*K, "component"]))
+        held = near.select(*above, "component").distinct()
+        onward = near.where(F.col("component") < F.col("node_id")).select(
+            *above, F.col("node_id").alias("component"), F.col("component").alias("next"))
+        onward = onward.join(held, [*above, "component"], "left_semi")
+        label = F.coalesce("next", "component")
         state, going = settle_flagged(
-            hot_join(near, onward, [*K, "component"], "left", rows=rows, slot_rows=g.slot_rows).select(
-                *N, F.coalesce("next", "component").alias("component"),
-                (F.coalesce("next", "component") < F.col("was")).alias("fresh")), "fresh")
+            hot_join(near, onward, [*above, "component"], "left", rows=rows, slot_rows=slot_rows).select(
+                *keys, label.alias("component"), (label < F.col("was")).alias("fresh")), "fresh")
     return state.drop("fresh")
 
 
+def weak_components(g: GraphSet) -> DataFrame:
+    """``component`` of every node."""
+    return g.once("weak", lambda: g.named(weak_labels(g.ids, g.pair_links, g.slot_rows), "component"))
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     return components.groupBy(*K, "component").agg(F.count(F.lit(1)).alias("size"))
 
@@ -100,48 +104,54 @@ def strong_components(g: GraphSet) -> DataFrame:
     off first. Then the smallest id flows forward; a node that keeps its own id is a root,
     and those of its colour that reach it are its component (colouring after Orzan, 2004).
     """
+    return g.once("strong", lambda: _strong(g))
+
+
+def _strong(g: GraphSet) -> DataFrame:
     done: list[DataFrame] = []
-    active = settle(g.nodes.select(*N))
-    while not active.isEmpty():
-        active, cut = _trim(active, g)
-        done.extend(cut)
-        if active.isEmpty():
+    active, left = settle(g.ids.select("node_id")), True
+    while left:
+        active, left = _trim(active, g, done)
+        if not left:
             break
         colour = _flood(active.withColumn("colour", F.col("node_id")), g.out_links, "colour")
         reached = _reach_back(colour, g.in_links)
-        done.append(reached.where("reached").select(*N, F.col("colour").alias("scc")))
-        active = settle(reached.where(~F.col("reached")).select(*N))
+        done.append(reached.where("reached").select("node_id", F.col("colour").alias("scc")))
+        active, left = settle_flagged(reached.where(~F.col("reached")).select("node_id", F.lit(True).alias("left")), "left")
+        active = active.select("node_id")
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
-    return result
+    return g.named(result, "scc")
 
 
-def _trim(active: DataFrame, g: GraphSet) -> tuple[DataFrame, list[DataFrame]]:
-    cut = []
+def _trim(active: DataFrame, g: GraphSet, done: list[DataFrame]) -> tuple[DataFrame, bool]:
+    """Cut lone nodes off until none is left; tells whether other nodes remain."""
     while True:
-        heard = [links.send(active).where(F.col("other") != F.col("node_id"))
-                 .select(*K, F.col("other").alias("node_id")).distinct().withColumn(name, F.lit(True))
-                 for name, links in (("into", g.out_links), ("outof", g.in_links))]
-        marked = active.join(heard[0], N, "left").join(heard[1], N, "left")
-        lone = F.col("into").isNull() | F.col("outof").isNull()
-        marked, any_lone = settle_flagged(marked.select(*N, lone.alias("lone")), "lone")
+        seen = None
+        for name, links in (("into", g.out_links), ("outof", g.in_links)):
+            ways = links.send(active).where(F.col("other") != F.col("node_id")).select(
+                F.col("other").alias("node_id"), *[F.lit(1 if n == name else 0).alias(n) for n in ("into", "outof")])
+            seen = ways if seen is None else seen.unionByName(ways)
+        seen = seen.groupBy("node_id").agg(F.max("into").alias("into"), F.max("outof").alias("outof"))
+        kept = F.coalesce(F.col("into") + F.col("outof") == 2, F.lit(False))
+        marked, any_lone = settle_flagged(active.join(seen, "node_id", "left").select("node_id", (~kept).alias("lone")), "lone")
+        active = marked.where(~F.col("lone")).select("node_id")
         if not any_lone:
-            return active, cut
-        cut.append(marked.where("lone").select(*N, F.col("node_id").alias("scc")))
-        active = marked.where(~F.col("lone")).select(*N)
+            return active, not active.isEmpty()
+        done.append(marked.where("lone").select("node_id", F.col("node_id").alias("scc")))
 
 
 def _reach_back(colour: DataFrame, links: Links) -> DataFrame:
     """Mark the nodes that reach the root of their colour."""
     root = F.col("node_id") == F.col("colour")
-    state, going = settle_flagged(colour.select(*N, "colour", root.alias("reached"), root.alias("fresh")), "fresh")
+    state, going = settle_flagged(colour.select("node_id", "colour", root.alias("reached"), root.alias("fresh")), "fresh")
     while going:
-        sent = links.send(state.where("fresh").select(*N, "colour"))
-        heard = sent.select(*K, F.col("other").alias("node_id"), "colour").distinct().withColumn("heard", F.lit(True))
+        sent = links.send(state.where("fresh").select("node_id", "colour"))
+        heard = sent.select(F.col("other").alias("node_id"), "colour").distinct().withColumn("heard", F.lit(True))
         fresh = ~F.col("reached") & F.coalesce("heard", F.lit(False))
-        state, going = settle_flagged(state.join(heard, [*N, "colour"], "left").select(
-            *N, "colour", (F.col("reached") | fresh).alias("reached"), fresh.alias("fresh")), "fresh")
+        state, going = settle_flagged(state.join(heard, ["node_id", "colour"], "left").select(
+            "node_id", "colour", (F.col("reached") | fresh).alias("reached"), fresh.alias("fresh")), "fresh")
     return state
 
 
@@ -157,31 +167,23 @@ def cycle_edge_ratio(g: GraphSet, scc: DataFrame) -> DataFrame:
         F.avg(inside).alias("cycle_edge_ratio"))
 
 
-def removal_impact(g: GraphSet, components: DataFrame, trials: DataFrame) -> DataFrame:
+def removal_impact(g: GraphSet, trials: DataFrame) -> DataFrame:
     """Relative drop of the largest weak component after deleting each trial node; mean and maximum.
 
-    Every trial is one more graph of the same month: a single component run over
-    (month, trial) answers all of them. ``trials`` holds (graph_id, month_start, node_id).
+    One component run over (trial, node) answers all trials. ``trials`` holds at most
+    AT_MOST nodes per graph, so the copies grow linearly with the graphs.
     """
-    whole = settle(largest_component(components))
-    # A trial is a graph of its own: its name takes the place of graph_id. The frame of trials
-    # has at most AT_MOST rows per month, so the copies grow linearly with the graphs.
-    trial = settle(trials.select(*K, F.col("node_id").alias("gone")))
+    size = lambda df, *keys: df.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size")).groupBy(*keys).agg(
+        F.max("size").alias("size"))
+    whole = size(weak_components(g).join(g.graphs, K), "gid")
+    trial = settle(g.numbers_of(trials.select(*N)).select("gid", F.col("node_id").alias("trial")))
     count = trial.count()
-    named = F.to_json(F.struct(F.col("graph_id"), F.col("gone"))).alias("graph_id")
-    nodes = settle(with_small(g.nodes, trial, K, rows=count).where(F.col("node_id") != F.col("gone")).select(
-        named, "month_start", "node_id"))
-    both = F.inline(F.array(F.struct(F.col("a").alias("node_id"), F.col("b").alias("other")),
-                            F.struct(F.col("b").alias("node_id"), F.col("a").alias("other"))))
-    links = Links(settle(with_small(g.pairs, trial, K, rows=count)
-                         .where((F.col("a") != F.col("gone")) & (F.col("b") != F.col("gone")))
-                         .select(named, "month_start", both)), g.slot_rows)
-    left = settle(largest_component(weak_components(g, nodes, links)))
+    nodes = settle(with_small(g.ids, trial, ["gid"], rows=count).where(F.col("node_id") != F.col("trial")).select("trial", "node_id"))
+    kept = with_small(g.simple_pairs, trial, ["gid"], rows=count).where((F.col("a") != F.col("trial")) & (F.col("b") != F.col("trial")))
+    links = Links(settle(kept.select("trial", both_ways())), g.slot_rows, ("trial", "node_id"))
+    rest = settle(size(weak_labels(nodes, links, g.slot_rows), "trial").withColumnRenamed("size", "rest"))
     links.close()
-    after = left.select(F.get_json_object("graph_id", "$.graph_id").alias("graph_id"), "month_start",
-                        F.get_json_object("graph_id", "$.gone").alias("gone"),
-                        F.col("largest_component_size").alias("rest"))
-    impact = (trial.join(whole, K).join(after, [*K, "gone"], "left")
-              .withColumn("impact", 1 - F.coalesce("rest", F.lit(0)) / F.col("largest_component_size")))
-    return impact.groupBy(*K).agg(F.avg("impact").alias("avg_node_removal_impact"),
-                                  F.max("impact").alias("max_node_removal_impact"))
+    impact = (trial.join(rest, "trial", "left").join(F.broadcast(settle(whole)), "gid")
+              .withColumn("impact", 1 - F.coalesce("rest", F.lit(0)) / F.col("size")))
+    return g.by_graph(impact.groupBy("gid").agg(F.avg("impact").alias("avg_node_removal_impact"),
+                                                F.max("impact").alias("max_node_removal_impact")))

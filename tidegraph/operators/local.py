@@ -94,32 +94,29 @@ def assortativity(arcs: DataFrame, degree: DataFrame) -> DataFrame:
         correlation(F.col("out_degree").cast("double"), F.col("in_degree").cast("double")).alias("assortativity"))
 
 
-def rich_club(pairs: DataFrame) -> DataFrame:
+def rich_club(g: GraphSet) -> DataFrame:
     """Mean over d = 0, 1, … of the density among nodes of degree above d, while two such nodes remain.
 
-    ``pairs`` are undirected without self-loops. Both histograms are by degree, whose
+    Pairs are undirected without self-loops. Both histograms are by degree, whose
     distinct values in one graph are fewer than twice the root of its pairs, so the
-    suffix sums run over small groups. Degree 0 nodes count in N(d) for no d.
+    suffix sums run over small groups. Nodes of degree 0 are above no d.
     """
-    ends = pairs.select(*K, F.explode(F.array("a", "b")).alias("node_id"))
-    degree = settle(ends.groupBy(*K, "node_id").agg(F.count(F.lit(1)).alias("degree")))
-    rows = pairs.count()
-    low = hot_join(pairs.select(*K, "a", "b"), degree.select(*K, F.col("node_id").alias("a"), F.col("degree").alias("da")),
-                   [*K, "a"], rows=rows)
-    low = hot_join(low, degree.select(*K, F.col("node_id").alias("b"), F.col("degree").alias("db")), [*K, "b"], rows=rows)
-    by_pair = low.groupBy(*K, F.least("da", "db").alias("degree")).agg(F.count(F.lit(1)).alias("links"))
-    by_node = degree.groupBy(*K, "degree").agg(F.count(F.lit(1)).alias("members"))
-    both = by_node.join(by_pair, [*K, "degree"], "left")
-    falling = Window.partitionBy(*K).orderBy(F.desc("degree"))
+    degree = pair_degrees(g).select("gid", "node_id", F.col("neighbours").alias("degree"))
+    low = g.simple_pairs.select("gid", "a", "b")
+    for end in ("a", "b"):
+        one = degree.select(F.col("node_id").alias(end), F.col("degree").alias(f"d{end}"))
+        low = hot_join(low, one, [end], rows=g.arc_rows, slot_rows=g.slot_rows)
+    by_pair = low.groupBy("gid", F.least("da", "db").alias("degree")).agg(F.count(F.lit(1)).alias("links"))
+    by_node = degree.groupBy("gid", "degree").agg(F.count(F.lit(1)).alias("members"))
+    falling = Window.partitionBy("gid").orderBy(F.desc("degree"))
     # Between two degrees that occur, the set of richer nodes is the same for every d.
-    steps = both.select(
-        *K, "degree",
-        F.sum("members").over(falling).alias("n"),
+    steps = by_node.join(by_pair, ["gid", "degree"], "left").select(
+        "gid", F.sum("members").over(falling).alias("n"),
         F.sum(F.coalesce("links", F.lit(0))).over(falling).alias("e"),
         (F.col("degree") - F.coalesce(F.lead("degree").over(falling), F.lit(0))).alias("run"))
     coefficient = 2 * F.col("e") / (F.col("n") * (F.col("n") - 1))
-    return (steps.where(F.col("n") > 1).groupBy(*K)
-            .agg((F.sum(F.col("run") * coefficient) / F.sum("run")).alias("rich_club_coefficient")))
+    return g.by_graph(steps.where(F.col("n") > 1).groupBy("gid").agg(
+        (F.sum(F.col("run") * coefficient) / F.sum("run")).alias("rich_club_coefficient")))
 
 
 def rich_club_density(arcs: DataFrame, degree: DataFrame, q: float = 0.9) -> DataFrame:
@@ -140,32 +137,35 @@ def triads(g: GraphSet) -> DataFrame:
     neighbour lists: no wedge is ever emitted, only closed triangles are. Lists are kept
     by arc direction, so the same four intersections serve the directed measures.
     """
-    pairs, rows = g.pairs, g.pairs.count()
-    ends = pairs.select(*K, F.explode(F.array("a", "b")).alias("node_id"))
-    degree = settle(ends.groupBy(*K, "node_id").agg(F.count(F.lit(1)).alias("degree")))
+    return g.once("triads", lambda: _triads(g))
+
+
+def _triads(g: GraphSet) -> DataFrame:
+    pairs, rows = g.simple_pairs, g.arc_rows
+    degree = pair_degrees(g).select("node_id", F.col("neighbours").alias("degree"))
     for end in ("a", "b"):
-        pairs = hot_join(pairs, degree.select(*K, F.col("node_id").alias(end), F.col("degree").alias(f"d{end}")),
-                         [*K, end], rows=rows, slot_rows=g.slot_rows)
+        pairs = hot_join(pairs, degree.select(F.col("node_id").alias(end), F.col("degree").alias(f"d{end}")),
+                         [end], rows=rows, slot_rows=g.slot_rows)
     upward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     pairs = settle(pairs.select(
-        *K, F.when(upward, F.col("a")).otherwise(F.col("b")).alias("u"),
+        "gid", F.when(upward, F.col("a")).otherwise(F.col("b")).alias("u"),
         F.when(upward, F.col("b")).otherwise(F.col("a")).alias("v"),
         F.when(upward, F.col("forward")).otherwise(F.col("backward")).alias("f"),
         F.when(upward, F.col("backward")).otherwise(F.col("forward")).alias("b")))
-    lists = settle(pairs.groupBy(*K, "u").agg(
+    lists = settle(pairs.groupBy("u").agg(
         F.collect_list("v").alias("all"),
         F.collect_list(F.when(F.col("f") == 1, F.col("v"))).alias("to"),
         F.collect_list(F.when(F.col("b") == 1, F.col("v"))).alias("from")))
 
     def named(end: str) -> DataFrame:
-        return lists.select(*K, F.col("u").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("all", "to", "from")])
+        return lists.select(F.col("u").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("all", "to", "from")])
 
     # A hub is an upper end of many pairs; its own list is short, and it is copied to each slot.
-    closed = hot_join(pairs, named("v"), [*K, "v"], rows=rows, slot_rows=g.slot_rows)
-    closed = closed.join(named("u"), [*K, "u"])
+    closed = hot_join(pairs, named("v"), ["v"], rows=rows, slot_rows=g.slot_rows)
+    closed = closed.join(named("u"), "u")
     cross = {(i, j): F.array_intersect(f"u_{i}", f"v_{j}") for i in ("to", "from") for j in ("to", "from")}
     closed = (closed.withColumn("third", F.array_intersect("u_all", "v_all")).where(F.size("third") > 0)
-              .select(*K, "u", "v", "f", "b", "third", cross["to", "to"].alias("tt"), cross["to", "from"].alias("tf"),
+              .select("gid", "u", "v", "f", "b", "third", cross["to", "to"].alias("tt"), cross["to", "from"].alias("tf"),
                       cross["from", "to"].alias("ft"), cross["from", "from"].alias("ff")))
     ways = F.col("f") + F.col("b")
     each = F.concat("tt", "tf", "ft", "ff")
@@ -180,26 +180,29 @@ def triads(g: GraphSet) -> DataFrame:
     sides = F.array(row(F.col("u"), count, ways * F.size(each), triples), row(F.col("v"), count, ways * F.size(each), none))
     thirds = F.transform("third", lambda w: row(w, F.lit(1), none, none))
     weighted = F.transform(each, lambda w: row(w, none, ways, none))
-    return (closed.select(*K, F.inline(F.concat(sides, thirds, weighted)))
-            .groupBy(*K, "node_id").agg(F.sum("n").alias("triangles"), (2 * F.sum("directed")).alias("directed_triangles"),
+    return (closed.select("gid", F.inline(F.concat(sides, thirds, weighted)))
+            .groupBy("gid", "node_id").agg(F.sum("n").alias("triangles"), (2 * F.sum("directed")).alias("directed_triangles"),
                                         F.sum("transitive").alias("transitive_triples")))
 
 
-def pair_degrees(pairs: DataFrame) -> DataFrame:
-    """Neighbours, total degree and two-way neighbours per node, self-loops left out."""
-    ends = pairs.select(*K, F.explode(F.array("a", "b")).alias("node_id"), (F.col("forward") + F.col("backward")).alias("ways"))
-    return ends.groupBy(*K, "node_id").agg(F.count(F.lit(1)).alias("neighbours"), F.sum("ways").alias("arcs"),
-                                           F.sum(F.when(F.col("ways") == 2, 1).otherwise(0)).alias("mutual"))
+def pair_degrees(g: GraphSet) -> DataFrame:
+    """Neighbours, arcs and two-way neighbours per node number, self-loops left out."""
+    ways = (F.col("forward") + F.col("backward")).alias("ways")
+    return g.once("pair degrees", lambda: (
+        g.simple_pairs.select("gid", F.explode(F.array("a", "b")).alias("node_id"), ways).groupBy("gid", "node_id").agg(
+            F.count(F.lit(1)).alias("neighbours"), F.sum("ways").alias("arcs"),
+            F.sum(F.when(F.col("ways") == 2, 1).otherwise(0)).alias("mutual"))))
 
 
-def clustering(g: GraphSet, triad: DataFrame) -> DataFrame:
+def clustering(g: GraphSet) -> DataFrame:
     """Triangles with undirected and directed clustering for every node."""
-    joined = (g.nodes.join(pair_degrees(g.pairs), [*K, "node_id"], "left").join(triad, [*K, "node_id"], "left").na.fill(0))
+    triad = triads(g)
+    joined = (g.ids.join(pair_degrees(g).drop("gid"), "node_id", "left").join(triad.drop("gid"), "node_id", "left").na.fill(0))
     d, t, two = F.col("neighbours"), F.col("arcs"), F.col("mutual")
-    return joined.select(
-        *K, "node_id", "triangles",
+    return g.named(joined.select(
+        "node_id", "triangles",
         safe_ratio(2.0 * F.col("triangles"), d * (d - 1)).alias("clustering"),
-        safe_ratio(F.col("directed_triangles").cast("double"), 2 * (t * (t - 1) - 2 * two)).alias("clustering_directed"))
+        safe_ratio(F.col("directed_triangles").cast("double"), 2 * (t * (t - 1) - 2 * two)).alias("clustering_directed")))
 
 
 def average_clustering(node_clustering: DataFrame) -> DataFrame:
@@ -207,13 +210,12 @@ def average_clustering(node_clustering: DataFrame) -> DataFrame:
                                            F.avg("clustering_directed").alias("average_clustering_directed"))
 
 
-def transitivity(arcs: DataFrame, triad: DataFrame) -> DataFrame:
+def transitivity(g: GraphSet) -> DataFrame:
     """Closed successor pairs over all successor pairs; 0 without a closed one."""
-    out = (arcs.where(F.col("source") != F.col("target")).groupBy(*K, F.col("source").alias("node_id"))
-           .agg(F.count(F.lit(1)).alias("d")))
-    possible = out.groupBy(*K).agg(F.sum(F.col("d") * (F.col("d") - 1)).alias("possible"))
-    closed = triad.groupBy(*K).agg(F.sum("transitive_triples").alias("closed"))
-    return (arcs.select(*K).distinct().join(possible, K, "left").join(closed, K, "left").na.fill(0)
+    out = g.coded.where(F.col("source") != F.col("target")).groupBy("gid", "source").agg(F.count(F.lit(1)).alias("d"))
+    possible = out.groupBy("gid").agg(F.sum(F.col("d") * (F.col("d") - 1)).alias("possible"))
+    closed = triads(g).groupBy("gid").agg(F.sum("transitive_triples").alias("closed"))
+    return (g.graphs.join(possible, "gid", "left").join(closed, "gid", "left").na.fill(0, ["possible", "closed"])
             .select(*K, safe_ratio(F.col("closed").cast("double"), F.col("possible")).alias("transitivity")))
 
 

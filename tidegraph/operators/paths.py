@@ -16,8 +16,7 @@ from .components import component_count, weak_components
 from .sampling import sample_nodes
 
 N = [*K, "node_id"]
-S = [*K, "origin"]
-P = [*K, "origin", "node_id"]
+P = ["origin", "node_id"]
 
 
 class _Log:
@@ -45,14 +44,14 @@ class _Log:
 
 
 def distances(links: Links, origins: DataFrame, weighted: bool = False) -> DataFrame:
-    """``distance`` from every origin to each node it reaches, itself at 0.
+    """``distance`` from every origin to each node it reaches, itself at 0; all nodes by number.
 
-    ``origins`` holds (graph_id, month_start, node_id). Weights must be positive.
+    Weights must be positive.
     """
     step = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    log = _Log(origins.select(*K, F.col("node_id").alias("origin"), "node_id", F.lit(0.0).alias("distance")), "paths")
+    log = _Log(origins.select(F.col("node_id").alias("origin"), "node_id", F.lit(0.0).alias("distance")), "paths")
     while log.going:
-        offered = (links.send(log.latest).groupBy(*K, "origin", F.col("other").alias("node_id"))
+        offered = (links.send(log.latest).groupBy("origin", F.col("other").alias("node_id"))
                    .agg(F.min(F.col("distance") + step).alias("distance")))
         known = log.since().groupBy(*P).agg(F.min("distance").alias("best"))
         better = offered.join(known, P, "left").where(F.col("best").isNull() | (F.col("distance") < F.col("best")))
@@ -68,9 +67,9 @@ def sampled_hops(g: GraphSet, components: DataFrame, seed: int = 42, sized_by_gr
     from .components import largest_component_nodes
     inside = settle(largest_component_nodes(components))
     origins = sample_nodes(inside, seed, sized_by=g.nodes if sized_by_graph else None)
-    hops = distances(g.out_links, origins)
-    return hops.select(*K, F.col("origin").alias("source"), F.col("node_id").alias("target"),
-                       F.col("distance").cast("bigint").alias("shortest_path_length"))
+    hops = distances(g.out_links, g.numbers_of(origins.select(*N)))
+    return g.named(hops, "origin").select(*K, F.col("origin").alias("source"), F.col("node_id").alias("target"),
+                                          F.col("distance").cast("bigint").alias("shortest_path_length"))
 
 
 def _in_batches(nodes: DataFrame, batches: int, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -88,13 +87,14 @@ def _in_batches(nodes: DataFrame, batches: int, run: Callable[[DataFrame], DataF
 def path_stats(g: GraphSet, components: DataFrame | None = None, batches: int = 1) -> DataFrame:
     """Mean and maximum of all weighted distances, a node's own 0 included, for weakly connected graphs."""
     components = components if components is not None else weak_components(g)
-    whole = component_count(components)
-    nodes = settle(g.join_month(g.nodes, whole.where("is_weakly_connected").select(*K)))
-    part = _in_batches(nodes, batches, lambda some: distances(g.out_links, some, weighted=True).groupBy(*K).agg(
+    whole = settle(component_count(components).where("is_weakly_connected").join(g.graphs, K).select("gid"))
+    nodes = settle(g.join_month(g.ids, whole))
+    part = _in_batches(nodes, batches, lambda some: distances(g.out_links, some, weighted=True).join(
+        g.ids.withColumnRenamed("node_id", "origin"), "origin").groupBy("gid").agg(
         F.sum("distance").alias("total"), F.count(F.lit(1)).alias("paths"), F.max("distance").alias("longest")))
-    stats = part.groupBy(*K).agg((F.sum("total") / F.sum("paths")).alias("average_path_length"),
-                                 F.max("longest").alias("diameter"))
-    return whole.select(*K).join(stats, K, "left")
+    stats = part.groupBy("gid").agg((F.sum("total") / F.sum("paths")).alias("average_path_length"),
+                                    F.max("longest").alias("diameter"))
+    return g.by_graph(stats, "right")
 
 
 def closeness(g: GraphSet, weighted: bool = False, nodes: DataFrame | None = None, batches: int = 1) -> DataFrame:
@@ -102,45 +102,48 @@ def closeness(g: GraphSet, weighted: bool = False, nodes: DataFrame | None = Non
 
     Distances run against the arcs from each node asked for.
     """
-    asked = (nodes if nodes is not None else g.nodes).select(*N)
-    size = g.nodes.groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
-    sums = _in_batches(asked, batches, lambda some: distances(g.in_links, some, weighted).groupBy(*S).agg(
-        F.count(F.lit(1)).alias("reach"), F.sum("distance").alias("total")))
+    asked = g.ids if nodes is None else g.numbers_of(nodes.select(*N))
+    size = g.ids.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    sums = _in_batches(asked, batches, lambda some: distances(g.in_links, some, weighted).groupBy(
+        F.col("origin").alias("node_id")).agg(F.count(F.lit(1)).alias("reach"), F.sum("distance").alias("total")))
     r, n = F.col("reach") - 1, F.col("n") - 1
     value = F.when((F.col("total") > 0) & (n > 0), r / F.col("total") * (r / n)).otherwise(0.0)
-    return g.join_month(sums, size).select(*K, F.col("origin").alias("node_id"), value.alias("closeness"))
+    return g.named(g.join_month(sums.join(g.ids, "node_id"), size).select("node_id", value.alias("closeness")))
 
 
-def betweenness(g: GraphSet, weighted: bool = True, seed: int = 42, origins: DataFrame | None = None) -> DataFrame:
+def betweenness(g: GraphSet, weighted: bool = True, seed: int = 42) -> DataFrame:
     """Share of shortest paths through each node, from sampled pivots, scaled to all nodes.
 
     The arcs on shortest paths form one acyclic graph per pivot. Path counts are summed
     over path lengths going forward, dependencies over path lengths going back
     (Brandes, 2001), each round one join and one aggregation over all pivots of all months.
     """
-    pivots = origins if origins is not None else sample_nodes(g.nodes, seed)
+    return g.once(("betweenness", weighted, seed), lambda: _betweenness(g, weighted, seed))
+
+
+def _betweenness(g: GraphSet, weighted: bool, seed: int) -> DataFrame:
+    pivots = sample_nodes(g.nodes, seed)
     step = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    found = settle(distances(g.out_links, pivots.select(*N), weighted))
-    ahead = found.select(*S, F.col("node_id").alias("other"), F.col("distance").alias("reached"))
+    found = settle(distances(g.out_links, g.numbers_of(pivots.select(*N)), weighted))
+    ahead = found.select("origin", F.col("node_id").alias("other"), F.col("distance").alias("reached"))
     tight = settle(g.out_links.send(found).where(F.col("node_id") != F.col("other"))
                    .select(*P, "other", (F.col("distance") + step).alias("reached"))
-                   .join(ahead, [*S, "other", "reached"]).select(*P, "other"))
+                   .join(ahead, ["origin", "other", "reached"]).select(*P, "other"))
     counts = _Log(found.where(F.col("node_id") == F.col("origin")).select(*P, F.lit(1.0).alias("paths")), "paths-count")
     while counts.going:
-        counts.add(tight.join(counts.latest, P).groupBy(*S, F.col("other").alias("node_id"))
-                   .agg(F.sum("paths").alias("paths")))
+        counts.add(tight.join(counts.latest, P).groupBy("origin", F.col("other").alias("node_id")).agg(F.sum("paths").alias("paths")))
     paths = settle(counts.since().groupBy(*P).agg(F.sum("paths").alias("paths")))
-    onward = paths.select(*S, F.col("node_id").alias("other"), F.col("paths").alias("paths_other"))
-    shares = settle(tight.join(paths, P).join(onward, [*S, "other"])
+    onward = paths.select("origin", F.col("node_id").alias("other"), F.col("paths").alias("paths_other"))
+    shares = settle(tight.join(paths, P).join(onward, ["origin", "other"])
                     .select(*P, "other", (F.col("paths") / F.col("paths_other")).alias("share")))
     passed = _Log(found.select(*P, F.lit(1.0).alias("amount")), "paths-dependency")
     while passed.going:
-        later = passed.latest.select(*S, F.col("node_id").alias("other"), "amount")
-        passed.add(shares.join(later, [*S, "other"]).groupBy(*P).agg(F.sum(F.col("share") * F.col("amount")).alias("amount")))
+        later = passed.latest.select("origin", F.col("node_id").alias("other"), "amount")
+        passed.add(shares.join(later, ["origin", "other"]).groupBy(*P).agg(F.sum(F.col("share") * F.col("amount")).alias("amount")))
     # The first round holds the constant 1 of each node, which is no dependency.
-    through = passed.since(2).where(F.col("node_id") != F.col("origin")).groupBy(*N).agg(F.sum("amount").alias("amount"))
-    size = pivots.groupBy(*K).agg(F.first("n").alias("n"), F.first("k").alias("k"))
+    through = (passed.since(2).where(F.col("node_id") != F.col("origin")).groupBy("node_id").agg(F.sum("amount").alias("amount")))
+    size = pivots.groupBy(*K).agg(F.first("n").alias("n"), F.first("k").alias("k")).join(g.graphs, K).select("gid", "n", "k")
     n, k = F.col("n"), F.col("k")
     scale = F.when(n > 2, n / (k * (n - 1.0) * (n - 2.0))).otherwise(1.0)
-    return (g.join_month(g.nodes, size).join(through, N, "left")
-            .select(*N, (F.coalesce("amount", F.lit(0.0)) * scale).alias("betweenness")))
+    return g.named(g.join_month(g.ids, size).join(through, "node_id", "left")
+                   .select("node_id", (F.coalesce("amount", F.lit(0.0)) * scale).alias("betweenness")))

@@ -11,7 +11,7 @@ from ..functions.scalars import display_name, row_id
 from ..functions.skew import top_rows
 from ..session import settle
 from . import community, components, kcore, local, pagerank, paths
-from .build import K, GraphSet, undirected_pairs
+from .build import K, GraphSet
 from .sampling import sample_nodes
 
 N = [*K, "node_id"]
@@ -24,11 +24,11 @@ def _by_month(first: DataFrame, *rest: DataFrame) -> DataFrame:
 
 def node_metrics(g: GraphSet, with_closeness: bool = False, seed: int = 42) -> DataFrame:
     """All node metrics, keyed by graph, month and node; a metric a node lacks is 0."""
-    parts = [settle(pagerank.pagerank(g).select(*N, "pagerank")),
+    parts = [pagerank.pagerank(g).select(*N, "pagerank"),
              local.degrees(g.arcs).select(*N, F.col("weighted_in_degree").cast("double").alias("degree_in"),
                                           F.col("weighted_out_degree").cast("double").alias("degree_out")),
-             settle(paths.betweenness(g, seed=seed)),
-             local.clustering(g, local.triads(g)).select(*N, "clustering", F.col("triangles").cast("bigint")),
+             paths.betweenness(g, seed=seed),
+             local.clustering(g).select(*N, "clustering", F.col("triangles").cast("bigint")),
              kcore.core_numbers(g).select(*N, F.col("core_number").cast("bigint")),
              local.node_flow(g.arcs)]
     if with_closeness:
@@ -41,17 +41,16 @@ def node_metrics(g: GraphSet, with_closeness: bool = False, seed: int = 42) -> D
 def network_metrics(g: GraphSet, partition: DataFrame | None = None, scc: DataFrame | None = None) -> DataFrame:
     """One row of metrics per graph and month; each metric stands on its own."""
     size = settle(local.sizes(g.arcs))
-    triad = settle(local.triads(g))
-    partition = settle(partition if partition is not None else community.louvain(g))
+    partition = partition if partition is not None else community.louvain(g)
     scc = scc if scc is not None else components.strong_components(g)
     flow = local.node_flow(g.arcs)
     table = _by_month(
-        size, local.density(size), components.strong_component_count(scc), local.transitivity(g.arcs, triad),
-        community.modularity(g.pairs, partition), community.community_count(partition),
+        size, local.density(size), components.strong_component_count(scc), local.transitivity(g),
+        community.modularity(g, partition), community.community_count(partition),
         local.assortativity(g.arcs, local.degrees(g.arcs)),
         local.network_toxicity(g.arcs).select(*K, "network_avg_toxicity"),
-        local.node_toxicity_stats(flow), kcore.core_summary(kcore.core_numbers(g)), local.rich_club(g.pairs),
-        local.average_clustering(local.clustering(g, triad)).select(*K, "average_clustering"))
+        local.node_toxicity_stats(flow), kcore.core_summary(kcore.core_numbers(g)), local.rich_club(g),
+        local.average_clustering(local.clustering(g)).select(*K, "average_clustering"))
     return table.withColumn("table_name", F.col("graph_id")).withColumn("row_id", row_id(F.col("month_start"), F.col("graph_id")))
 
 
@@ -105,31 +104,28 @@ def centrality_table(g: GraphSet, seed: int = 42) -> DataFrame:
 def time_summary(g: GraphSet, partition: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """Base and advanced metrics, one row per graph and month."""
     size, degree = settle(local.sizes(g.arcs)), settle(local.degrees(g.arcs))
-    weak = settle(components.weak_components(g))
-    partition = settle(partition if partition is not None else community.louvain(
-        g, undirected_pairs(g.arcs, loops=True).where(F.col("a") == F.col("b"))))
-    pairs = settle(undirected_pairs(g.arcs, loops=True))
+    weak = components.weak_components(g)
+    partition = partition if partition is not None else community.louvain(g, loops=True)
     return _by_month(
         size, local.density(size),
-        local.average_clustering(local.clustering(g, local.triads(g))).select(
+        local.average_clustering(local.clustering(g)).select(
             *K, F.col("average_clustering_directed").alias("avg_clustering")),
         components.component_count(weak).select(*K, "num_components"),
         components.largest_component(weak).select(*K, "largest_component_size"), local.degree_summary(degree),
         local.assortativity(g.arcs, degree).withColumnRenamed("assortativity", "degree_assortativity"),
         local.reciprocity(g.arcs), kcore.core_summary(kcore.core_numbers(g)),
-        components.removal_impact(g, weak, sample_nodes(g.nodes, seed)), local.rich_club_density(g.arcs, degree),
-        components.cycle_edge_ratio(g, settle(components.strong_components(g))), community.modularity(pairs, partition))
+        components.removal_impact(g, sample_nodes(g.nodes, seed)), local.rich_club_density(g.arcs, degree),
+        components.cycle_edge_ratio(g, components.strong_components(g)), community.modularity(g, partition, loops=True))
 
 
 def period_metrics(g: GraphSet, partition: DataFrame | None = None) -> DataFrame:
     """The smaller set for graphs of any period, such as weeks, with path lengths."""
-    size, weak = settle(local.sizes(g.arcs)), settle(components.weak_components(g))
-    pairs = settle(undirected_pairs(g.arcs, loops=True))
-    partition = settle(partition if partition is not None else community.louvain(g, pairs.where(F.col("a") == F.col("b"))))
+    size, weak = settle(local.sizes(g.arcs)), components.weak_components(g)
+    partition = partition if partition is not None else community.louvain(g, loops=True)
     return _by_month(
         size, local.density(size), components.strong_component_count(components.strong_components(g)),
-        local.transitivity(g.arcs, settle(local.triads(g))), local.assortativity(g.arcs, local.degrees(g.arcs)),
-        paths.path_stats(g, weak), community.modularity(pairs, partition), community.community_count(partition))
+        local.transitivity(g), local.assortativity(g.arcs, local.degrees(g.arcs)),
+        paths.path_stats(g, weak), community.modularity(g, partition, loops=True), community.community_count(partition))
 
 
 def weekly_edges(rows: DataFrame, graph_id: str = "weekly") -> DataFrame:

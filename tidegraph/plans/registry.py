@@ -86,14 +86,14 @@ size AS (
 PAIRS = """pairs AS (
   SELECT graph_id, month_start, least(source, target) AS a, greatest(source, target) AS b, max(weight) AS weight, count(*) AS ways
   FROM edges WHERE source <> target GROUP BY 1, 2, 3, 4),
-both AS (SELECT graph_id, month_start, a AS node_id, b AS other, ways FROM pairs
+linked AS (SELECT graph_id, month_start, a AS node_id, b AS other, ways FROM pairs
   UNION ALL SELECT graph_id, month_start, b, a, ways FROM pairs)"""
 
 WEAK = f"""{NODES}, {PAIRS},
 spread(graph_id, month_start, node_id, label) AS (
   SELECT graph_id, month_start, node_id, node_id FROM nodes
   UNION SELECT s.graph_id, s.month_start, b.other, s.label FROM spread s
-    JOIN both b ON b.graph_id = s.graph_id AND b.month_start = s.month_start AND b.node_id = s.node_id),
+    JOIN linked b ON b.graph_id = s.graph_id AND b.month_start = s.month_start AND b.node_id = s.node_id),
 weak AS (SELECT graph_id, month_start, node_id, min(label) AS component FROM spread GROUP BY 1, 2, 3)"""
 
 STRONG = f"""{NODES},
