@@ -7,7 +7,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def _tail(x: float, a: float, b: float) -> float:
@@ -35,7 +35,7 @@ def _tail(x: float, a: float, b: float) -> float:
     return float(front * value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """p of (r, n) under Student's t with n-2 degrees of freedom; one row per metric pair comes here."""
     for r, n in batches:

@@ -1,4 +1,4 @@
 """All named queries; importing the modules registers them."""
 
-from . import graphs, tabular  # noqa: F401
+from . import graphs, series, tabular  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
