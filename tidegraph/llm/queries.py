@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate
+from ..session import scratch_path
+from . import decontaminate, pieces, token_store
+from .common import flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def file_bytes(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query("op1_token_store")
+def op1(spark, sf):
+    path = scratch_path(spark, "tokens")
+    token_store.write_store(table(spark, sf, "documents"), path, file_bytes("word_bpe_49k.json").decode(), end_id=1)
+    return token_store.read_store(spark, path, "ids_crc32 long", token_store.crc)
+
+
+@query("op5_sentencepiece")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return flat(pieces.digests(docs, file_bytes("piece_bpe_32k.model"), keep=["doc_id"]))
+
+
 CONTAMINATION_SQL = """WITH
 docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
     '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
