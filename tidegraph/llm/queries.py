@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, pieces, token_store
-from .common import flat
+from . import decontaminate, language, pieces, token_store
+from .common import crc_part, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,14 @@ def op1(spark, sf):
     return token_store.read_store(spark, path, "ids_crc32 long", token_store.crc)
 
 
+@query("op2_language_id")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.trained_on(docs), keep=["doc_id"])
+    return found.select("row.doc_id", (crc_part("row.doc_id", 3) == 1).alias("held_out"), F.col("result.lang").alias("lang_pred"),
+                        "result.score", "result.entropy", "result.n_letters", "result.rejected")
+
+
 @query("op5_sentencepiece")
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
