@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import decontaminate, language, pieces, token_store
+from . import chat, decontaminate, language, lines, pieces, spotsigs, token_store
 from .common import crc_part, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,15 @@ def op2(spark, sf):
                         "result.score", "result.entropy", "result.n_letters", "result.rejected")
 
 
+@query("op3_spot_signatures")
+def op3(spark, sf):
+    prints = spotsigs.edited_neighbours(table(spark, sf, "documents"))
+    own, edited, following = F.col("signatures"), F.col("edited_signatures"), F.col("next_signatures")
+    return prints.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                         spotsigs.digest(own).alias("fingerprint"), spotsigs.digest(edited).alias("edited_fingerprint"),
+                         spotsigs.likeness(own, edited).alias("near_edited"), spotsigs.likeness(own, following).alias("near_next"))
+
+
 @query("op5_sentencepiece")
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -79,3 +88,47 @@ def op8(spark, sf):
     return decontaminate.contamination(docs, table(spark, sf, "benchmark"), keep=["doc_id"]).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+LINES_SQL = """WITH
+docs AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, source, unnest(l) AS raw, unnest(generate_series(1, len(l))) AS i FROM docs),
+lines AS (SELECT *, trim(raw) AS line FROM each),
+common AS (SELECT line FROM lines WHERE line <> '' AND len(string_split_regex(line, '[ \\t]+')) >= 3
+           GROUP BY line HAVING count(DISTINCT source) >= 10),
+ranked AS (SELECT doc_id, i, raw, common.line IS NOT NULL AND row_number() OVER (PARTITION BY lines.line ORDER BY doc_id, i) > 1 AS gone
+           FROM lines LEFT JOIN common USING (line)),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+                string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS body FROM ranked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM kept"""
+
+
+@query("op6_line_dedup", LINES_SQL)
+def op6(spark, sf):
+    found = lines.marked(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return found.select("row.doc_id", F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+                        F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(lines.kept_text("row.text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+CHAT_SQL = """WITH
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(body) + 15) AS BIGINT) AS formatted_chars, true AS identical
+FROM (SELECT *, CASE WHEN contains(text, '</turn>') OR contains(text, '### ')
+      THEN replace(replace(replace(text, '\\', '\\s'), '</turn>', '\\e'), '### ', '\\h') || '!' ELSE text END AS body FROM turns) GROUP BY conv_id"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7(spark, sf):
+    odd = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    out = chat.formatted(turns).withColumn("turns", chat.parse(F.col("formatted"))).withColumn(
+        "loss", F.array_join(chat.masked_texts(F.col("formatted"), F.col("mask")), ""))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"), "identical")
