@@ -15,6 +15,7 @@ stored byte plane by byte plane (all lowest bytes first), which zstandard compre
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -41,7 +42,10 @@ class ChunkIds(dict):
     """Ids of every distinct run of non-space bytes as packed uint32, each encoded once by the tokenizer.
 
     White space is dropped by the tokenizer's own splitting and no token or special token holds any, so
-    the ids of a text are those of its runs one after the other.
+    the ids of a text are those of its runs one after the other. A run that is a word of Latin letters with
+    ASCII punctuation behind it splits further at that place, and the word goes to the tokenizer's
+    BPE model in lower case with its UTF-8 bytes spelled as the byte-level splitter spells them; this holds for tokenizers that
+    lower-case and split letters from punctuation, which is checked on a sample of words when the tokenizer is loaded.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -51,22 +55,54 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.words, self.tails = Tokenizer.from_str(tokenizer_json), {}, {}
+        self.model = self.tokenizer.model
+        probes = ["Straße,", "École.", "the", "The;", "ñandú!?", "Übergrößen).", "a", "XYZ:", "don,", "s,", "Œuvre.", "İz."]
+        self.by_word = all(self._split(x) in (None, self._whole(x)) for x in probes)
+
+    def _whole(self, run: str) -> bytes:
+        return _packed(self.tokenizer.encode(run, add_special_tokens=False).ids)
+
+    def _split(self, run: str) -> bytes | None:
+        """Ids of a Latin word with punctuation behind it; None for any other run."""
+        word = run.rstrip(TAIL)
+        plain = word.isascii()
+        if not word.isalpha() or not plain and (max(word) > LATIN or "\u0130" in word):
+            return None
+        tail, word = run[len(word) :], word.lower()
+        if tail and tail not in self.tails:
+            self.tails[tail] = self._whole(tail)
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            spelled = word if plain else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+            ids = self.words[word] = _packed([t.id for t in self.model.tokenize(spelled)])
+        return ids + self.tails[tail] if tail else ids
+
+    def __missing__(self, run: bytes) -> bytes:
+        text = run.decode()
+        ids = self._split(text) if self.by_word else None
+        if ids is None:
+            ids = self._whole(text)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[run] = ids
+        return ids
 
     def of(self, bodies: list) -> list[bytes]:
-        runs = [body.split() if body else [] for body in bodies]
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = []
-        for words in runs:
-            new = [w for w in set(words) if w not in self]
-            if new:
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-            out.append(b"".join(map(self.__getitem__, words)))
-            if len(self) > 2 * CACHE_WORDS:
-                self.clear()
-        return out
+        return [b"".join(map(self.__getitem__, body.split())) if body else b"" for body in bodies]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+TAIL = ".,;:!?)]}\"-/|*"
+LATIN = "\u024f"
+# How the byte-level splitter spells bytes: printable ones as themselves, the others from U+0100 on, in order.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 def planes(ids: bytes) -> bytes:
@@ -83,9 +119,12 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def train_dictionary(docs: DataFrame, tokenizer_json: str, id_col: str, text: str) -> bytes:
     """A dictionary from the ids of at most ``DICTIONARY_DOCS`` documents; empty where they are too few."""
-    sample = (docs.where(F.length(text).between(1, DICTIONARY_CHARS)).select(F.xxhash64(id_col).alias("_h"), F.col(text).alias("_t"))
-              .orderBy("_h", "_t").limit(DICTIONARY_DOCS).collect())
-    ids = [planes(x) for x in ChunkIds(tokenizer_json).of([r["_t"].encode() for r in sample])]
+    fit = docs.where(F.length(text).between(1, DICTIONARY_CHARS)).select(F.xxhash64(id_col).alias("_h"), F.col(text).alias("_t"))
+    # The cut is found on the hashes alone, so that only the texts of the sample come to the driver.
+    cut = fit.select("_h").orderBy("_h").limit(DICTIONARY_DOCS).agg(F.max("_h")).first()[0]
+    sample = fit.where(F.col("_h") <= cut).limit(2 * DICTIONARY_DOCS).collect() if cut is not None else []
+    sample = sorted(r["_t"] for r in sample)
+    ids = [planes(x) for x in ChunkIds(tokenizer_json).of([x.encode() for x in sample])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
