@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import scratch_path
+
 CACHE_WORDS = 200_000
 """Distinct words that a Python worker remembers before it starts anew; a bound on memory, not on what is processed."""
 
@@ -95,3 +97,10 @@ def crc_part(id_column: str | Column, parts: int) -> Column:
 
 def lists(values: list, kind: pa.DataType) -> pa.ListArray:
     return pa.array(values, pa.list_(kind))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``settle`` with the denser compression, for tables that hold texts or packed numbers."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import chat, decontaminate, language, lines, pieces, spotsigs, token_store
+from . import chat, class_lm, decontaminate, language, lines, pieces, spotsigs, token_store
 from .common import crc_part, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ def op7(spark, sf):
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                       F.length("formatted").cast("long").alias("formatted_chars"), "identical")
+
+
+@query("op10_class_lm")
+def op10(spark, sf):
+    return class_lm.scores(table(spark, sf, "documents"), crc_part("doc_id", 10) == 0)
