@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import chat, class_lm, decontaminate, language, lines, pieces, spotsigs, token_store
+from . import chat, class_lm, decontaminate, language, lines, pieces, spotsigs, substrings, token_store
 from .common import crc_part, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,23 @@ def op7(spark, sf):
 @query("op10_class_lm")
 def op10(spark, sf):
     return class_lm.scores(table(spark, sf, "documents"), crc_part("doc_id", 10) == 0)
+
+
+REPEATS_SQL = """WITH
+docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM docs WHERE len(w) >= 20),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM starts),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM docs),
+kept AS (SELECT words.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS body
+         FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i GROUP BY words.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op9_lempel_ziv_dedup", REPEATS_SQL)
+def op9(spark, sf):
+    found = substrings.repeated_spans(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
