@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import chat, class_lm, decontaminate, language, lines, pieces, spotsigs, substrings, token_store
+from . import chat, class_lm, decontaminate, jaccard, language, lines, pieces, spotsigs, substrings, token_store
 from .common import crc_part, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,22 @@ def op9(spark, sf):
     found = substrings.repeated_spans(table(spark, sf, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+LINKS_SQL = """WITH RECURSIVE
+docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM docs WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_in JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other),
+least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least_of LEFT JOIN sizes USING (doc_id)"""
+
+
+@query("op4_ngram_jaccard", LINKS_SQL)
+def op4(spark, sf):
+    return jaccard.linked_components(table(spark, sf, "documents"))
