@@ -84,8 +84,9 @@ DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
                        T.StructField("decoded_sha256", T.StringType())])
 
 
-def digests(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Lengths and digests of ids and decoded texts, made where the ids are, so ids need not leave the task."""
+def digests(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """Lengths and digests of ids and decoded texts, made where the ids are, so ids need not leave the task unless asked for."""
+    kind = T.StructType([*CODED.fields, *DIGEST.fields]) if with_ids else DIGEST
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -94,9 +95,10 @@ def digests(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
 
         def work(bodies):
             ids = [table.encode(body.decode() if body else "") for body in bodies]
-            return structs(n_tokens=pa.array(map(len, ids), pa.int64()),
+            more = {"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}
+            return structs(**more, n_tokens=pa.array(map(len, ids), pa.int64()),
                            ids_sha256=pa.array([sha(" ".join(map(str, x))) for x in ids]),
                            decoded_sha256=pa.array([sha(table.library.decode(x)) for x in ids]))
         return work
 
-    return over_texts(docs, text, DIGEST, make, keep)
+    return over_texts(docs, text, kind, make, keep)
