@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..functions.skew import with_small
 from .common import CACHE_WORDS, over_texts, structs
 
 ORDER = 4
@@ -19,6 +20,8 @@ LONG = 400
 """Letters from which on the spread of the entropy no longer shrinks in the calibration."""
 SLACK = 4.0
 """A text is rejected beyond so many times the calibrated spread."""
+LEAST_SPREAD = 3.0
+"""Spread assumed at least, so that few held-back texts do not make the rejection strict."""
 SURE = 16
 """Letters that count towards the score; more would drive every score to 0 or 1."""
 UNDETERMINED = "und"
@@ -86,7 +89,7 @@ class Models:
     def __init__(self, fitted: dict[str, list[tuple[np.ndarray, ...]]]):
         self.languages = sorted(fitted)
         self.tables = []
-        for k in range(ORDER):
+        for k in range(ORDER if fitted else 0):
             own = [fitted[name][k] for name in self.languages]
             grams, contexts = (np.unique(np.concatenate([t[j] for t in own])) for j in (0, 2))
             share, left = np.zeros((len(grams), len(own)), np.float32), np.ones((len(contexts), len(own)), np.float32)
@@ -171,8 +174,11 @@ def fit_models(labelled: DataFrame, text: str = "text", lang: str = "lang", id_c
 
 
 def _least(df: DataFrame, text: str, lang: str, id_col: str, n: int) -> DataFrame:
-    ranked = df.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(id_col, text).alias("_hash"))
-    return ranked.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))).where(F.col("_n") <= n)
+    """The ``n`` rows of least hash of each language; ranks are taken on hashes alone, texts are read for the chosen rows only."""
+    hashed = df.select(F.col(lang).alias("_lang"), F.xxhash64(id_col, text).alias("_hash"), F.col(text).alias("_text"))
+    ranked = hashed.select("_lang", "_hash").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))).where(F.col("_n") <= n)
+    cuts = ranked.groupBy("_lang").agg(F.max("_hash").alias("_cut"))
+    return with_small(hashed, cuts, ["_lang"]).where(F.col("_hash") <= F.col("_cut")).drop("_cut")
 
 
 class Identifier:
@@ -198,7 +204,7 @@ def train_identifier(labelled: DataFrame, held_back: DataFrame, text: str = "tex
     mean = right.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("mean"))
     spread = (F.col("entropy") - F.col("mean")) * F.sqrt("n")
     rows = right.join(mean, "lang").groupBy("lang", "mean").agg(F.percentile(spread, 0.99).alias("spread")).collect()
-    return Identifier(models, {r["lang"]: (r["mean"], max(r["spread"], 1e-6)) for r in rows})
+    return Identifier(models, {r["lang"]: (r["mean"], max(r["spread"], LEAST_SPREAD)) for r in rows})
 
 
 FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()),
