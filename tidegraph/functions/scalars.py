@@ -19,6 +19,11 @@ def not_blank(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
+def exact_sum(column: str) -> Column:
+    """Sum of doubles with at most twelve decimal places that does not depend on the order of the rows."""
+    return F.sum(F.col(column).cast("decimal(38,12)")).cast("double")
+
+
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom``, and 0 where the bottom is not positive."""
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))

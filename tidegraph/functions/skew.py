@@ -8,16 +8,18 @@ from ..session import settle, width
 
 SLOT_ROWS = 1_000_000
 """Rows of one key that a single task takes."""
-HOT_KEYS = 20_000
-"""Upper bound on the number of keys that are split, hence on what is broadcast."""
+HOT_KEYS = 1_000_000
+"""Upper bound on the number of keys that are split, hence on what is broadcast; reached at SLOT_ROWS * HOT_KEYS rows."""
+FEW_ROWS = 20_000
+"""Rows up to which a frame known to be small, such as one row per month, is broadcast."""
 SLOT = "_slot"
 
 
 def hot_keys(df: DataFrame, on: list[str], slot_rows: int = SLOT_ROWS, rows: int | None = None) -> DataFrame | None:
     """Keys with more than ``slot_rows`` rows and the number of slots each is split into.
 
-    The threshold is raised to ``rows / HOT_KEYS`` on very large inputs, so fewer than
-    ``HOT_KEYS`` keys can pass it whatever the input. None when no key can be hot.
+    A slot has at most ``slot_rows`` rows at every size. Beyond ``slot_rows * HOT_KEYS`` rows only keys
+    with more than ``rows / HOT_KEYS`` are split, so the list stays bounded. None when no key can be hot.
     """
     rows = df.count() if rows is None else rows
     if rows <= slot_rows:
@@ -25,7 +27,7 @@ def hot_keys(df: DataFrame, on: list[str], slot_rows: int = SLOT_ROWS, rows: int
     cut = max(slot_rows, rows // HOT_KEYS)
     return settle(
         df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cut)
-        .select(*on, F.ceil(F.col("_n") / cut).cast("int").alias("_slots")))
+        .select(*on, F.ceil(F.col("_n") / slot_rows).cast("int").alias("_slots")))
 
 
 def split(df: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
@@ -59,12 +61,12 @@ def with_small(df: DataFrame, few: DataFrame, on: list[str], how: str = "inner",
     """Join ``df`` to a frame with few rows, such as one per month, without moving ``df``.
 
     ``rows`` is the size of ``few`` if known; else it is computed first and counted. Beyond
-    ``HOT_KEYS`` rows it is not broadcast, and the hot keys of ``df`` are split instead.
+    ``FEW_ROWS`` rows it is not broadcast, and the hot keys of ``df`` are split instead.
     """
     if rows is None:
         few = settle(few)
         rows = few.count()
-    if rows <= HOT_KEYS:
+    if rows <= FEW_ROWS:
         return df.join(F.broadcast(few), on, how)
     return hot_join(df, few, on, how)
 

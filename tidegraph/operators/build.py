@@ -172,7 +172,7 @@ class GraphSet:
 
     def by_graph(self, per_gid: DataFrame, how: str = "inner") -> DataFrame:
         """One row per graph: ``gid`` gives way to graph and month; ``how="right"`` keeps graphs without a row."""
-        return per_gid.join(F.broadcast(self.graphs) if how == "inner" else self.graphs, "gid", how).select(
+        return (with_small(per_gid, self.graphs, ["gid"], rows=self.months) if how == "inner" else per_gid.join(self.graphs, "gid", how)).select(
             *K, *[c for c in per_gid.columns if c != "gid"])
 
     def named(self, df: DataFrame, *labels: str) -> DataFrame:

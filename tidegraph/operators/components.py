@@ -183,7 +183,7 @@ def removal_impact(g: GraphSet, trials: DataFrame) -> DataFrame:
     links = Links(settle(kept.select("trial", both_ways())), g.slot_rows, ("trial", "node_id"))
     rest = settle(size(weak_labels(nodes, links, g.slot_rows), "trial").withColumnRenamed("size", "rest"))
     links.close()
-    impact = (trial.join(rest, "trial", "left").join(F.broadcast(settle(whole)), "gid")
+    impact = (with_small(trial.join(rest, "trial", "left"), settle(whole), ["gid"], rows=g.months)
               .withColumn("impact", 1 - F.coalesce("rest", F.lit(0)) / F.col("size")))
     return g.by_graph(impact.groupBy("gid").agg(F.avg("impact").alias("avg_node_removal_impact"),
                                                 F.max("impact").alias("max_node_removal_impact")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import width
 from ..functions.taxonomy import CATEGORIES, FALLBACK_CATEGORY, FALLBACK_CONFIDENCE, KEYWORDS, UNCATEGORIZED
 
 # Attempts per hashtag and bounds of the wait between them, in seconds.
@@ -19,7 +21,7 @@ Classifier = Callable[[str], tuple[str, int, int]]
 """A hashtag to (JSON reply, prompt tokens, completion tokens)."""
 
 
-def top_hashtags(hashtags: DataFrame, n: int | None = 55_000) -> DataFrame:
+def top_hashtags(hashtags: DataFrame, n: int | None = None) -> DataFrame:
     """Hashtags by falling number of politician users; the first ``n`` if given."""
     ordered = hashtags.orderBy(F.desc("politician_users"), "hashtag")
     return ordered.limit(n) if n else ordered
@@ -32,13 +34,30 @@ def keyword_reply(hashtag: str) -> tuple[str, int, int]:
     return json.dumps({"categories": categories, "confidence": 1.0 if found else 0.0}), len(hashtag), len(categories)
 
 
-def classify(hashtags: DataFrame, make: Callable[[], Classifier] = lambda: keyword_reply,
+def by_keywords(hashtags: DataFrame) -> DataFrame:
+    """``keyword_reply`` for all distinct hashtags as one expression: what it replies, without a call per hashtag."""
+    named = hashtags.select("hashtag").where(F.col("hashtag").isNotNull()).distinct()
+    tag = F.lower("hashtag")
+    words = {c: [w for w, category in KEYWORDS if category == c] for c in CATEGORIES}
+    hits = [F.when(reduce(Column.__or__, [F.contains(tag, F.lit(w)) for w in words[c]]), c) for c in CATEGORIES if words[c]]
+    found = F.array_compact(F.array(*hits))
+    known = F.size(found) > 0
+    categories = F.when(known, found).otherwise(F.array(F.lit(UNCATEGORIZED)))
+    return named.select("hashtag", F.length("hashtag").cast("long").alias("prompt_tokens"), F.size(categories).cast("long").alias("completion_tokens"),
+                        categories.alias("categories"), F.when(known, 1.0).otherwise(0.0).alias("confidence"))
+
+
+def classify(hashtags: DataFrame, make: Callable[[], Classifier] | None = None, tasks: int | None = None,
              attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT, longest_wait: float = LONGEST_WAIT) -> DataFrame:
     """``categories``, ``confidence`` and token counts of each distinct hashtag.
 
-    A classifier is made once per task. A call that fails is tried again with growing
+    Without ``make`` the keywords decide. A classifier is made once per task, and the hashtags are dealt over ``tasks``
+    (the session's shuffle partitions), so that a slow service is asked from all of them. A call that fails is tried again with growing
     waits; one that fails every time yields the fallback.
     """
+    if make is None:
+        return by_keywords(hashtags)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
 
@@ -56,7 +75,8 @@ def classify(hashtags: DataFrame, make: Callable[[], Classifier] = lambda: keywo
                                           zip(*[answer(h) for h in frame["hashtag"]])))) if len(frame) else \
                 frame.assign(reply=None, prompt_tokens=0, completion_tokens=0)
 
-    replies = hashtags.select("hashtag").where(F.col("hashtag").isNotNull()).distinct().mapInPandas(
+    named = hashtags.select("hashtag").where(F.col("hashtag").isNotNull()).distinct()
+    replies = named.repartition(tasks or width(hashtags.sparkSession), "hashtag").mapInPandas(
         run, "hashtag string, reply string, prompt_tokens bigint, completion_tokens bigint")
     return parse_reply(replies)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.scalars import correlation, safe_ratio
+from ..functions.scalars import correlation, exact_sum, safe_ratio
 from ..functions.skew import exact_quantile, hot_join, with_small
 from ..session import settle
 from .build import K, GraphSet, induced
@@ -25,7 +25,7 @@ def density(size: DataFrame) -> DataFrame:
 
 def network_toxicity(arcs: DataFrame) -> DataFrame:
     totals = arcs.groupBy(*K).agg(F.sum("weight").alias("total_interactions"),
-                                  F.sum("sum_toxicity").alias("total_toxicity"))
+                                  exact_sum("sum_toxicity").alias("total_toxicity"))
     return totals.withColumn("network_avg_toxicity", safe_ratio(F.col("total_toxicity"), F.col("total_interactions")))
 
 
@@ -45,7 +45,7 @@ def node_flow(arcs: DataFrame) -> DataFrame:
     """Interactions and toxicity sent and received per node, in one pass over the arcs."""
     flow = _ends(arcs).groupBy(*K, "node_id").agg(
         F.sum("w_out").alias("interactions_sent"), F.sum("w_in").alias("interactions_received"),
-        F.sum("t_out").alias("toxicity_sent"), F.sum("t_in").alias("toxicity_received"))
+        exact_sum("t_out").alias("toxicity_sent"), exact_sum("t_in").alias("toxicity_received"))
     return flow.select(
         *K, "node_id", "interactions_sent", "interactions_received",
         (F.col("interactions_sent") + F.col("interactions_received")).alias("interactions_total"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.skew import top_rows
 from ..operators import build, community, components, distributions, kcore, local, pagerank, paths, sampling, tables
 from ..operators.build import K, GraphSet
 from ..session import scratch_path, settle
@@ -285,34 +286,39 @@ RANKS = f"""{SIZES},
 sent AS (SELECT graph_id, month_start, source AS node_id, CAST(sum(weight) AS DOUBLE) AS out FROM edges GROUP BY 1, 2, 3),
 base AS (SELECT n.graph_id, n.month_start, n.node_id, s.nodes AS n, o.out FROM nodes n JOIN size s ON s.graph_id = n.graph_id AND s.month_start = n.month_start
   LEFT JOIN sent o ON o.graph_id = n.graph_id AND o.month_start = n.month_start AND o.node_id = n.node_id),
-ranks(i, graph_id, month_start, node_id, x) AS (
-  SELECT 0, graph_id, month_start, node_id, 1.0::DOUBLE / n FROM base
+ranks(i, graph_id, month_start, node_id, x, moved) AS (
+  SELECT 0, graph_id, month_start, node_id, 1.0::DOUBLE / n, CAST(n AS DOUBLE) FROM base
   UNION ALL
-  SELECT i + 1, graph_id, month_start, node_id, sum(x) FROM (
-    SELECT r.i, e.graph_id, e.month_start, e.target AS node_id, 0.85 * r.x * e.weight / b.out AS x FROM ranks r
-      JOIN base b ON b.graph_id = r.graph_id AND b.month_start = r.month_start AND b.node_id = r.node_id
-      JOIN edges e ON e.graph_id = r.graph_id AND e.month_start = r.month_start AND e.source = r.node_id
-    UNION ALL
-    SELECT d.i, b.graph_id, b.month_start, b.node_id, (0.85 * d.loose + 0.15) / b.n FROM base b JOIN
-      (SELECT r.i, r.graph_id, r.month_start, sum(CASE WHEN b.out IS NULL THEN r.x ELSE 0 END) AS loose FROM ranks r
-         JOIN base b ON b.graph_id = r.graph_id AND b.month_start = r.month_start AND b.node_id = r.node_id GROUP BY 1, 2, 3) d
-      ON d.graph_id = b.graph_id AND d.month_start = b.month_start)
-  WHERE i < 20 GROUP BY 1, 2, 3, 4),
-pagerank AS (SELECT graph_id, month_start, node_id, x AS pagerank FROM ranks WHERE i = 20)"""
-
-
-def ranks_20(spark: SparkSession, sf: str) -> DataFrame:
+  SELECT i + 1, graph_id, month_start, node_id, x, sum(abs(x - was)) OVER (PARTITION BY graph_id, month_start) FROM (
+    SELECT i, graph_id, month_start, node_id, sum(x) AS x, sum(was) AS was FROM (
+      SELECT r.i, e.graph_id, e.month_start, e.target AS node_id, 0.85 * r.x * e.weight / b.out AS x, 0.0::DOUBLE AS was FROM ranks r
+        JOIN base b ON b.graph_id = r.graph_id AND b.month_start = r.month_start AND b.node_id = r.node_id
+        JOIN edges e ON e.graph_id = r.graph_id AND e.month_start = r.month_start AND e.source = r.node_id WHERE r.moved >= b.n * 1e-6::DOUBLE
+      UNION ALL
+      SELECT r.i, b.graph_id, b.month_start, b.node_id, (0.85 * d.loose + 0.15) / b.n, r.x FROM ranks r
+        JOIN base b ON b.graph_id = r.graph_id AND b.month_start = r.month_start AND b.node_id = r.node_id JOIN
+        (SELECT r.graph_id, r.month_start, sum(CASE WHEN b.out IS NULL THEN r.x ELSE 0 END) AS loose FROM ranks r
+           JOIN base b ON b.graph_id = r.graph_id AND b.month_start = r.month_start AND b.node_id = r.node_id GROUP BY 1, 2) d
+        ON d.graph_id = b.graph_id AND d.month_start = b.month_start WHERE r.moved >= b.n * 1e-6::DOUBLE)
+    GROUP BY 1, 2, 3, 4)),
+pagerank AS (SELECT r.graph_id, r.month_start, r.node_id, r.x AS pagerank FROM ranks r
+  JOIN (SELECT graph_id, month_start, max(i) AS i FROM ranks GROUP BY 1, 2) l ON l.graph_id = r.graph_id AND l.month_start = r.month_start AND l.i = r.i)"""
+
+
+def ranks(spark: SparkSession, sf: str) -> DataFrame:
     with graphs(spark, sf) as g:
-        return pagerank.pagerank(g, rounds=20).select(*N, "pagerank")
+        return pagerank.pagerank(g).select(*N, "pagerank")
 
 
-@query("g_pagerank", with_edges("SELECT graph_id, month_start, node_id, round(pagerank, 6) AS pagerank FROM pagerank", extra=RANKS))
+RANK_ROWS = with_edges("SELECT graph_id, month_start, node_id, round(pagerank, 6) AS pagerank FROM pagerank", extra=RANKS)
+
+
+@query("g_pagerank", RANK_ROWS)
 def g_pagerank(spark, sf):
-    """Twenty rounds, so that SQL can follow; ``g_pagerank_converged`` stops by tolerance."""
-    return rounded(ranks_20(spark, sf))
+    return rounded(ranks(spark, sf))
 
 
-@query("g_pagerank_converged")
+@query("g_pagerank_converged", RANK_ROWS.replace("AS pagerank FROM pagerank", "AS pagerank, true AS converged FROM pagerank"))
 def g_pagerank_converged(spark, sf):
     with graphs(spark, sf) as g:
         return rounded(pagerank.pagerank(g))
@@ -321,8 +327,7 @@ def g_pagerank_converged(spark, sf):
 @query("w_pagerank_rank", with_edges("""SELECT * FROM (SELECT graph_id, month_start, node_id, round(pagerank, 9) AS pagerank,
   row_number() OVER (PARTITION BY graph_id, month_start ORDER BY round(pagerank, 9) DESC, node_id) AS position FROM pagerank) WHERE position <= 1000""", extra=RANKS))
 def w_pagerank_rank(spark, sf):
-    from ..functions.skew import top_rows
-    return top_rows(rounded(ranks_20(spark, sf), 9), K, [F.desc("pagerank"), F.col("node_id")], 1000)
+    return top_rows(rounded(ranks(spark, sf), 9), K, [F.desc("pagerank"), F.col("node_id")], 1000)
 
 
 CORES = f"""{NODES}, {PAIRS},
@@ -538,17 +543,17 @@ def h_structs(spark, sf):
 # Composite tables -------------------------------------------------------------------------------------------------
 
 @query("m_node_metrics", with_edges("""SELECT strftime(f.month_start, '%Y-%m') || '_' || f.node_id AS row_id, f.graph_id, f.month_start, f.node_id,
-  CAST(d.weighted_in_degree AS DOUBLE) AS degree_in, CAST(d.weighted_out_degree AS DOUBLE) AS degree_out, round(b.betweenness, 6) AS betweenness,
+  round(p.pagerank, 6) AS pagerank, CAST(d.weighted_in_degree AS DOUBLE) AS degree_in, CAST(d.weighted_out_degree AS DOUBLE) AS degree_out, round(b.betweenness, 6) AS betweenness,
   round(c.clustering, 6) AS clustering, c.triangles, k.core_number, f.interactions_sent, f.interactions_received, f.interactions_total,
   round(f.toxicity_sent, 6) AS toxicity_sent, round(f.toxicity_received, 6) AS toxicity_received,
   round(f.toxicity_sent_avg, 6) AS toxicity_sent_avg, round(f.toxicity_received_avg, 6) AS toxicity_received_avg
   FROM flow f JOIN degrees d USING (graph_id, month_start, node_id) JOIN between_ness b USING (graph_id, month_start, node_id)
-  JOIN clustered c USING (graph_id, month_start, node_id) JOIN cores k USING (graph_id, month_start, node_id)""",
-    extra=", ".join([FLOW, DEGREES, BETWEEN, TRIANGLES.replace(f"{NODES}, ", ""), CORES.replace(f"{NODES}, {PAIRS},", "")])))
+  JOIN clustered c USING (graph_id, month_start, node_id) JOIN cores k USING (graph_id, month_start, node_id)
+  JOIN pagerank p USING (graph_id, month_start, node_id)""",
+    extra=", ".join([FLOW, DEGREES, BETWEEN, TRIANGLES.replace(f"{NODES}, ", ""), CORES.replace(f"{NODES}, {PAIRS},", ""), RANKS.replace(f"{NODES},", "")])))
 def m_node_metrics(spark, sf):
-    """PageRank is left out here, since its stopping round is not fixed; ``m_node_table`` has all columns."""
     with graphs(spark, sf) as g:
-        return rounded(node_table(g).drop("pagerank"))
+        return rounded(node_table(g))
 
 
 @query("m_node_table")
@@ -636,12 +641,15 @@ def m_time_summary(spark, sf):
 
 @query("m_weekly_graph")
 def m_weekly_graph(spark, sf):
-    """Weekly edges by way of a ``Source, Target, Weight, Week`` CSV."""
-    path = scratch_path(spark, "weekly-csv")
-    weekly = fixtures.derive_edges(spark, sf, "week").where(F.col("graph_id") == "supplier")
-    writers.write_csv(weekly.select(F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("weight").alias("Weight"),
-                                    F.col("month_start").cast("string").alias("Week")), path)
-    with GraphSet(tables.weekly_edges(readers.read_csv(spark, path, schemas.WEEKLY_EDGES))) as g:
+    """Weekly edges by way of one ``Source, Target, Weight, Week`` CSV per graph."""
+    weekly, edges = settle(fixtures.derive_edges(spark, sf, "week")), []
+    for graph in ("supplier", "part"):
+        path = scratch_path(spark, "weekly-csv")
+        writers.write_csv(weekly.where(F.col("graph_id") == graph).select(
+            F.col("source").alias("Source"), F.col("target").alias("Target"), F.col("weight").alias("Weight"),
+            F.col("month_start").cast("string").alias("Week")), path)
+        edges.append(tables.weekly_edges(readers.read_csv(spark, path, schemas.WEEKLY_EDGES), graph))
+    with GraphSet(edges[0].unionByName(edges[1])) as g:
         return rounded(settle(tables.period_metrics(g)))
 
 
@@ -651,10 +659,32 @@ def m_weekly_graph(spark, sf):
     extra=f"""{FLOW}, chosen AS (SELECT * FROM flow WHERE node_id IN ('1', '2', '3', '4', '5') AND month_start >= DATE '1997-01-01' AND month_start < DATE '1998-01-01')"""))
 def m_party_toxicity(spark, sf):
     from .tabular import ACCOUNTS
-    return rounded(tables.party_toxicity(settle(local.node_flow(arcs_of(spark, sf))), ACCOUNTS, "1997-01-01", "1998-01-01"))
+    # Only arcs that touch the accounts in that year are read.
+    chosen = [*ACCOUNTS]
+    day = F.col("month_start")
+    near = arcs_of(spark, sf).where((day >= F.lit("1997-01-01").cast("date")) & (day < F.lit("1998-01-01").cast("date"))
+                                    & (F.col("source").isin(chosen) | F.col("target").isin(chosen)))
+    return rounded(tables.party_toxicity(settle(local.node_flow(near).where(F.col("node_id").isin(chosen))), ACCOUNTS, "1997-01-01", "1998-01-01"))
 
 
 @query("m_centrality_table")
 def m_centrality_table(spark, sf):
     with graphs(spark, sf) as g:
         return rounded(settle(tables.centrality_table(g)))
+
+
+@query("j_top_nonpoliticians", with_edges("""SELECT graph_id, month_start, node_id, pagerank, 'top_pagerank' AS category FROM
+  (SELECT graph_id, month_start, node_id, round(pagerank, 9) AS pagerank,
+     row_number() OVER (PARTITION BY graph_id, month_start ORDER BY round(pagerank, 9) DESC, node_id) AS place
+   FROM pagerank WHERE node_id NOT IN (SELECT twitter_handle FROM politicians)) WHERE place <= 1000""", extra=f"{RANKS}, {POLITICIANS}"))
+def j_top_nonpoliticians(spark, sf):
+    return tables.top_others(rounded(ranks(spark, sf), 9), fixtures.politicians(spark, sf)).select(*N, "pagerank", "category")
+
+
+@query("s_nodes_of_interest", with_edges("""SELECT graph_id, month_start, node_id FROM nodes JOIN politicians ON node_id = twitter_handle
+  UNION SELECT graph_id, month_start, node_id FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, month_start ORDER BY round(pagerank, 9) DESC, node_id) AS place
+    FROM pagerank) WHERE place <= 1000""", extra=f"{RANKS}, {POLITICIANS}"))
+def s_nodes_of_interest(spark, sf):
+    nodes = rounded(ranks(spark, sf), 9)
+    top = top_rows(nodes, K, [F.desc("pagerank"), F.col("node_id")], 1000).select(*N)
+    return tables.politician_nodes(nodes, fixtures.politicians(spark, sf)).select(*N).union(top).distinct()

@@ -58,13 +58,13 @@ HASHTAGS = """tagged AS (
 hashtags AS (SELECT hashtag, count(DISTINCT usr) AS politician_users FROM tagged WHERE hashtag IS NOT NULL GROUP BY hashtag)"""
 
 FLOW = """ends AS (
-  SELECT graph_id, month_start, source AS node_id, weight AS w_out, 0 AS w_in, sum_toxicity AS t_out, 0.0::DOUBLE AS t_in FROM edges
-  UNION ALL SELECT graph_id, month_start, target, 0, weight, 0.0::DOUBLE, sum_toxicity FROM edges),
+  SELECT graph_id, month_start, source AS node_id, weight AS w_out, 0 AS w_in, CAST(sum_toxicity AS DECIMAL(38,12)) AS t_out, CAST(0 AS DECIMAL(38,12)) AS t_in FROM edges
+  UNION ALL SELECT graph_id, month_start, target, 0, weight, CAST(0 AS DECIMAL(38,12)), CAST(sum_toxicity AS DECIMAL(38,12)) FROM edges),
 flow AS (
   SELECT graph_id, month_start, node_id, CAST(sum(w_out) AS BIGINT) AS interactions_sent, CAST(sum(w_in) AS BIGINT) AS interactions_received,
-         CAST(sum(w_out) + sum(w_in) AS BIGINT) AS interactions_total, sum(t_out) AS toxicity_sent, sum(t_in) AS toxicity_received,
-         CASE WHEN sum(w_out) > 0 THEN sum(t_out) / sum(w_out) ELSE 0 END AS toxicity_sent_avg,
-         CASE WHEN sum(w_in) > 0 THEN sum(t_in) / sum(w_in) ELSE 0 END AS toxicity_received_avg
+         CAST(sum(w_out) + sum(w_in) AS BIGINT) AS interactions_total, CAST(sum(t_out) AS DOUBLE) AS toxicity_sent, CAST(sum(t_in) AS DOUBLE) AS toxicity_received,
+         CASE WHEN sum(w_out) > 0 THEN CAST(sum(t_out) AS DOUBLE) / sum(w_out) ELSE 0 END AS toxicity_sent_avg,
+         CASE WHEN sum(w_in) > 0 THEN CAST(sum(t_in) AS DOUBLE) / sum(w_in) ELSE 0 END AS toxicity_received_avg
   FROM ends GROUP BY graph_id, month_start, node_id)"""
 
 DEGREES = """degree_ends AS (

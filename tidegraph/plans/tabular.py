@@ -45,7 +45,7 @@ def scan_tweets(spark, sf):
 def run_sql(spark, sf):
     fixtures.edges(spark, sf).createOrReplaceTempView("network_edges")
     return readers.run_sql(
-        spark, "SELECT graph_id, month_start, sum(weight) AS interactions FROM network_edges GROUP BY ALL", limit=1_000_000)
+        spark, "SELECT graph_id, month_start, sum(weight) AS interactions FROM network_edges GROUP BY ALL")
 
 
 HASHTAG_ROWS = f"WITH {HASHTAGS} SELECT * FROM hashtags"
@@ -274,16 +274,6 @@ def j_politician_nodes(spark, sf):
     return tables.politician_nodes(nodes, fixtures.politicians(spark, sf)).select(*K, "node_id", "official_name", "party", "category")
 
 
-@query("j_top_nonpoliticians", with_edges("""SELECT graph_id, month_start, node_id, pagerank, 'top_pagerank' AS category FROM
-  (SELECT graph_id, month_start, node_id, CAST(interactions_received AS DOUBLE) AS pagerank,
-     row_number() OVER (PARTITION BY graph_id, month_start ORDER BY interactions_received DESC, node_id) AS place
-   FROM flow WHERE node_id NOT IN (SELECT twitter_handle FROM politicians)) WHERE place <= 20""", extra=f"{FLOW}, {POLITICIANS}"))
-def j_top_nonpoliticians(spark, sf):
-    flow = local.node_flow(fixtures.edges(spark, sf))
-    ranks = flow.select(*K, "node_id", F.col("interactions_received").cast("double").alias("pagerank"))
-    return tables.top_others(ranks, fixtures.politicians(spark, sf), 20).select(*K, "node_id", "pagerank", "category")
-
-
 @query("j_endpoint_labels", with_edges("SELECT graph_id, month_start, source, target, length(source) AS source_digits, length(target) AS target_digits FROM edges"))
 def j_endpoint_labels(spark, sf):
     edges = fixtures.edges(spark, sf)
@@ -416,7 +406,7 @@ def t_top_edges(spark, sf):
 
 @query("t_hashtags", f"WITH {HASHTAGS} SELECT * FROM hashtags ORDER BY politician_users DESC, hashtag LIMIT 55000")
 def t_hashtags(spark, sf):
-    return tags.top_hashtags(fixtures.hashtags(spark, sf))
+    return tags.top_hashtags(fixtures.hashtags(spark, sf), 55_000)
 
 
 @query("t_newest_tweets", f"WITH {TWEETS} SELECT * FROM tweets ORDER BY recorded_at DESC, tweet_id LIMIT 5120")
@@ -442,15 +432,6 @@ def s_node_set(spark, sf):
     return build.node_set(fixtures.edges(spark, sf))
 
 
-@query("s_nodes_of_interest", with_edges("""SELECT graph_id, month_start, node_id FROM nodes JOIN politicians ON node_id = twitter_handle
-  UNION SELECT graph_id, month_start, node_id FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, month_start ORDER BY interactions_received DESC, node_id) AS place FROM flow) WHERE place <= 20""",
-                                         extra=f"{NODES}, {FLOW}, {POLITICIANS}"))
-def s_nodes_of_interest(spark, sf):
-    flow = local.node_flow(fixtures.edges(spark, sf))
-    top = top_rows(flow, K, [F.desc("interactions_received"), F.col("node_id")], 20).select(*K, "node_id")
-    return tables.politician_nodes(flow, fixtures.politicians(spark, sf)).select(*K, "node_id").union(top).distinct()
-
-
 # Models and increments --------------------------------------------------------------------------------------------
 
 @query("u_score_tweets", SCORED_ROWS)
@@ -465,7 +446,7 @@ def u_score_tweets_plugin(spark, sf):
 
 @query("u_classify_hashtags", f"WITH {CLASSIFIED} SELECT hashtag, categories, confidence FROM classified")
 def u_classify_hashtags(spark, sf):
-    classified = tags.classify(tags.top_hashtags(fixtures.hashtags(spark, sf)))
+    classified = tags.classify(fixtures.hashtags(spark, sf))
     return classified.select("hashtag", tags.joined_categories(F.col("categories")).alias("categories"), "confidence")
 
 

@@ -21,8 +21,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def _by_month(df: DataFrame, month: str):
-    """Rows of a month go to a bounded number of tasks, so that few files arise yet none is unbounded."""
-    return df.repartition(F.col(month), F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy(month)
+    """Rows of a month meet in as many tasks as their size asks for: small months share one, large ones are split."""
+    return df.hint("rebalance", month).write.partitionBy(month)
 
 
 def replace_table(df: DataFrame, path: str, schema: T.StructType, month: str = "month_start") -> None:
