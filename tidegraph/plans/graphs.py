@@ -542,15 +542,22 @@ def h_structs(spark, sf):
 
 # Composite tables -------------------------------------------------------------------------------------------------
 
-@query("m_node_metrics", with_edges("""SELECT strftime(f.month_start, '%Y-%m') || '_' || f.node_id AS row_id, f.graph_id, f.month_start, f.node_id,
-  round(p.pagerank, 6) AS pagerank, CAST(d.weighted_in_degree AS DOUBLE) AS degree_in, CAST(d.weighted_out_degree AS DOUBLE) AS degree_out, round(b.betweenness, 6) AS betweenness,
-  round(c.clustering, 6) AS clustering, c.triangles, k.core_number, f.interactions_sent, f.interactions_received, f.interactions_total,
-  round(f.toxicity_sent, 6) AS toxicity_sent, round(f.toxicity_received, 6) AS toxicity_received,
-  round(f.toxicity_sent_avg, 6) AS toxicity_sent_avg, round(f.toxicity_received_avg, 6) AS toxicity_received_avg
+NODE_ROWS = ", ".join([FLOW, DEGREES, BETWEEN, TRIANGLES.replace(f"{NODES}, ", ""), CORES.replace(f"{NODES}, {PAIRS},", ""),
+                       RANKS.replace(f"{NODES},", "")]) + """,
+node_rows AS (SELECT strftime(f.month_start, '%Y-%m') || '_' || f.node_id AS row_id, f.graph_id, f.month_start, f.node_id, p.pagerank,
+  CAST(d.weighted_in_degree AS DOUBLE) AS degree_in, CAST(d.weighted_out_degree AS DOUBLE) AS degree_out, b.betweenness, c.clustering, c.triangles,
+  k.core_number, f.interactions_sent, f.interactions_received, f.interactions_total, f.toxicity_sent, f.toxicity_received, f.toxicity_sent_avg, f.toxicity_received_avg
   FROM flow f JOIN degrees d USING (graph_id, month_start, node_id) JOIN between_ness b USING (graph_id, month_start, node_id)
   JOIN clustered c USING (graph_id, month_start, node_id) JOIN cores k USING (graph_id, month_start, node_id)
-  JOIN pagerank p USING (graph_id, month_start, node_id)""",
-    extra=", ".join([FLOW, DEGREES, BETWEEN, TRIANGLES.replace(f"{NODES}, ", ""), CORES.replace(f"{NODES}, {PAIRS},", ""), RANKS.replace(f"{NODES},", "")])))
+  JOIN pagerank p USING (graph_id, month_start, node_id))"""
+
+NODE_SELECT = """SELECT row_id, graph_id, month_start, node_id, round(pagerank, 6) AS pagerank, degree_in, degree_out, round(betweenness, 6) AS betweenness,
+  round(clustering, 6) AS clustering, triangles, core_number, interactions_sent, interactions_received, interactions_total,
+  round(toxicity_sent, 6) AS toxicity_sent, round(toxicity_received, 6) AS toxicity_received,
+  round(toxicity_sent_avg, 6) AS toxicity_sent_avg, round(toxicity_received_avg, 6) AS toxicity_received_avg"""
+
+
+@query("m_node_metrics", with_edges(f"{NODE_SELECT} FROM node_rows", extra=NODE_ROWS))
 def m_node_metrics(spark, sf):
     with graphs(spark, sf) as g:
         return rounded(node_table(g))
@@ -620,13 +627,25 @@ def m_all_networks(spark, sf):
     return local.sizes(build.simple_arcs(tables.all_networks(named)))
 
 
-@query("m_politician_metrics")
+POLITICIAN_ROWS = f"""{NODE_ROWS}, {POLITICIANS},
+chosen AS (SELECT r.*, official_name, party, 'politician' AS category FROM node_rows r JOIN politicians ON node_id = twitter_handle
+  UNION ALL SELECT * EXCLUDE (place), NULL, NULL, 'top_pagerank' FROM
+    (SELECT *, row_number() OVER (PARTITION BY graph_id, month_start ORDER BY pagerank DESC, node_id) AS place FROM node_rows
+     WHERE node_id NOT IN (SELECT twitter_handle FROM politicians)) WHERE place <= 1000)"""
+
+
+@query("m_politician_metrics", with_edges("""SELECT graph_id, month_start, node_id AS twitter_handle, official_name, party, category, round(pagerank, 6) AS pagerank,
+  degree_in AS in_degree, degree_out AS out_degree, round(betweenness, 6) AS betweenness, round(clustering, 6) AS clustering_coefficient,
+  round(toxicity_sent, 6) AS sent_toxicity, round(toxicity_received, 6) AS received_toxicity, round(toxicity_sent_avg, 6) AS avg_sent_toxicity,
+  round(toxicity_received_avg, 6) AS avg_received_toxicity, interactions_total AS total_interactions FROM chosen""", extra=POLITICIAN_ROWS))
 def m_politician_metrics(spark, sf):
     with graphs(spark, sf) as g:
         return rounded(tables.politician_metrics(node_table(g), fixtures.politicians(spark, sf)))
 
 
-@query("m_party_metrics")
+@query("m_party_metrics", with_edges("""SELECT graph_id, month_start, party, round(avg(pagerank), 6) AS pagerank_mean, round(stddev_samp(pagerank), 6) AS pagerank_std, round(avg(degree_in), 6) AS in_degree_mean, round(stddev_samp(degree_in), 6) AS in_degree_std, round(avg(degree_out), 6) AS out_degree_mean, round(stddev_samp(degree_out), 6) AS out_degree_std, round(avg(betweenness), 6) AS betweenness_mean, round(stddev_samp(betweenness), 6) AS betweenness_std, round(avg(clustering), 6) AS clustering_coefficient_mean, round(stddev_samp(clustering), 6) AS clustering_coefficient_std,
+  round(sum(toxicity_sent), 6) AS sent_toxicity_sum, round(sum(toxicity_received), 6) AS received_toxicity_sum, CAST(sum(interactions_total) AS BIGINT) AS total_interactions_sum
+  FROM chosen WHERE category = 'politician' GROUP BY 1, 2, 3""", extra=POLITICIAN_ROWS))
 def m_party_metrics(spark, sf):
     with graphs(spark, sf) as g:
         rows = tables.politician_metrics(node_table(g), fixtures.politicians(spark, sf))
@@ -667,7 +686,9 @@ def m_party_toxicity(spark, sf):
     return rounded(tables.party_toxicity(settle(local.node_flow(near).where(F.col("node_id").isin(chosen))), ACCOUNTS, "1997-01-01", "1998-01-01"))
 
 
-@query("m_centrality_table")
+@query("m_centrality_table", with_edges("""SELECT graph_id, month_start, node_id, round(pagerank, 6) AS pagerank, round(betweenness, 6) AS betweenness
+  FROM pagerank JOIN between_ness USING (graph_id, month_start, node_id)""",
+    extra=RANKS + ", " + BETWEEN.replace(f"{NODES}, ", "").replace("h.d + e.weight", "h.d + 1").replace("x.d + e.weight", "x.d + 1")))
 def m_centrality_table(spark, sf):
     with graphs(spark, sf) as g:
         return rounded(settle(tables.centrality_table(g)))
