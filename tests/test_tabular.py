@@ -142,3 +142,31 @@ def test_series_pairs_and_lags(spark):
     assert lags["lead", "x", 1] == pytest.approx(1.0)
     best = {(r.metric1, r.metric2): r.lag for r in series.strongest_lag(series.lagged(long)).collect()}
     assert best["lead", "x"] == 1
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    from tidegraph.operators import local
+    arcs = spark.range(4000).select(
+        F.lit("g").alias("graph_id"), F.to_date(F.lit("2021-01-01")).alias("month_start"), (F.col("id") % 7).cast("string").alias("source"),
+        (F.col("id") % 11).cast("string").alias("target"), F.lit(3).cast("long").alias("weight"), ((F.col("id") * 7919) % 1000003 / 1000000).alias("sum_toxicity"))
+    seen = set()
+    for parts in (1, 4, 200):
+        dealt = arcs.repartition(parts, F.rand(parts))
+        flow = sorted(map(tuple, local.node_flow(dealt).select("node_id", "toxicity_sent", "toxicity_received_avg").collect()))
+        seen.add((repr(flow), repr(local.network_toxicity(dealt).collect())))
+    assert len(seen) == 1
+
+
+def test_keyword_expression_replies_like_the_classifier(spark):
+    tags = ["Klimaschutz", "bundestag2021", "xyz", "", "corona_impfung", "EUROPA", None, "xyz"]
+    df = spark.createDataFrame([(t, 1) for t in tags], "hashtag string, politician_users long")
+    rows = lambda d: sorted(tuple(r[c] for c in ("hashtag", "categories", "confidence", "prompt_tokens", "completion_tokens")) for r in d.collect())
+    assert rows(hashtags.classify(df)) == rows(hashtags.classify(df, lambda: hashtags.keyword_reply, tasks=3))
+
+
+def test_with_small_beyond_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW_ROWS", 1)
+    many = spark.createDataFrame([(k % 3, k) for k in range(30)], "k long, v long")
+    few = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
+    got = skew.with_small(many, few, ["k"], "left")
+    assert {(r.k, r.v, r.name) for r in got.collect()} == {(k % 3, k, {0: "a", 1: "b"}.get(k % 3)) for k in range(30)}
