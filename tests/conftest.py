@@ -8,7 +8,8 @@ from tidegraph.session import get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_session("tests", master="local[4]", shuffle_partitions=2, driver_memory="4g")
+def spark(tmp_path_factory):
+    session = get_session("tests", master="local[4]", shuffle_partitions=2, driver_memory="4g",
+                          shared_folder=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def get_session(app: str = "tidegraph", master: str | None = None, shuffle_partitions: int | None = None,
-                driver_memory: str | None = None) -> SparkSession:
+                driver_memory: str | None = None, shared_folder: str | None = None) -> SparkSession:
+    """A session; ``shared_folder`` becomes spark.checkpoint.dir, where all intermediate tables go."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +23,8 @@ def get_session(app: str = "tidegraph", master: str | None = None, shuffle_parti
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shared_folder:
+        builder = builder.config("spark.checkpoint.dir", shared_folder)
     if driver_memory:
         builder = builder.config("spark.driver.memory", driver_memory)
     return builder.getOrCreate()
