@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, jaccard, lines, substrings
-from tidegraph.llm.common import alnum_words, space_words
+from tidegraph.llm import common, decontaminate, jaccard, lines, substrings
+from tidegraph.llm.common import alnum_words, space_words, word_hashes
 
 from .cases import ODD, frame, prose
 
@@ -23,6 +23,19 @@ def test_words_follow_their_patterns():
         assert [w.decode() for w in alnum_words(t.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
 
 
+def test_word_hashes(monkeypatch):
+    rng = random.Random(0)
+    texts = [(t or "").encode() for _, t in ODD] + ["".join(rng.choice("ab \n\x0b\xe9\x1c") for _ in range(rng.randint(0, 90))).encode() for _ in range(200)]
+    whole = {w: h for t in texts for w, h in zip(space_words(t), word_hashes(t).tolist(), strict=True)}
+    assert len(set(whole.values())) == len(whole)
+    assert all(word_hashes(b"x " + w).tolist()[1] == h == word_hashes(w + b"\n").tolist()[0] for w, h in whole.items())
+    # In small pieces only words longer than a piece have another hash, the same wherever they stand.
+    monkeypatch.setattr(common, "_PIECE", 8)
+    for t in texts:
+        for w, h in zip(space_words(t), word_hashes(t).tolist(), strict=True):
+            assert h == whole[w] if len(w) < 8 else h == word_hashes(w).tolist()[0] or len(w) == 8
+
+
 def hits(text, items, size):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     hit, names = set(), set()

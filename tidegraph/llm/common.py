@@ -59,19 +59,6 @@ def alnum_words(body: bytes | None) -> list[bytes]:
     return body.translate(_ALNUM).split() if body else []
 
 
-class Hashes(dict):
-    """64-bit hash of each word, remembered up to ``CACHE_WORDS`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,14 +66,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_PIECE = 1 << 19
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+_STEP = 0xD1342543DE82EF95
+_POWERS, _INVERSES = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(_PIECE, x, np.uint64))])
+                      for x in (np.uint64(_STEP), np.uint64(pow(_STEP, -1, 1 << 64))))
+
+
+def word_hashes(body: bytes | None) -> np.ndarray:
+    """A 64-bit hash of every word of ``space_words``, in order, without making the words.
+
+    Sums of hashed bytes times powers run over a piece of the text; a word's hash is the difference of two of them, shifted
+    to its start. Pieces end between words, so memory is bounded; a word longer than a piece is hashed by itself.
+    """
+    out, at = [], 0
+    body = body or b""
+    while at < len(body):
+        piece = body[at : at + _PIECE]
+        if at + len(piece) < len(body) and not _SPACE[body[at + len(piece)]]:
+            cut = max(piece.rfind(x) for x in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
+            if cut < 0:
+                word = body[at:].split(None, 1)[0]
+                out.append(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))
+                at += len(word)
+                continue
+            piece = piece[: cut + 1]
+        at += len(piece)
+        codes = np.frombuffer(piece, np.uint8)
+        space = np.concatenate([[True], _SPACE[codes], [True]])
+        change = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = change[0::2], change[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[codes] * _POWERS[: len(codes)])])
+        out.append(mixed((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def rolled(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of every ``n`` consecutive words, by position of the first."""
-    if len(hashes) < n:
+    """A 64-bit hash of every ``n`` consecutive words, by position of the first; runs are put together from halves."""
+    size = len(hashes) - n + 1
+    if size < 1:
         return np.empty(0, np.uint64)
-    out = np.full(len(hashes) - n + 1, np.uint64(seed * 2 + 1), np.uint64)
-    for k in range(n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k])
-    return out
+    part, length, out, done = mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))), 1, None, 0
+    while True:
+        if n & length:
+            own = part[done : done + size]
+            out, done = own if out is None else mixed(out * np.uint64(0xD1342543DE82EF95) + own), done + length
+        if length * 2 > n:
+            return out
+        part = mixed(part[:-length] * np.uint64(0xD1342543DE82EF95) + part[length:])
+        length *= 2
 
 
 def crc_part(id_column: str | Column, parts: int) -> Column:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
-from .common import Hashes, mixed, rolled, space_words, stored
+from .common import mixed, rolled, stored, word_hashes
 
 PERCENT = 90
 SHINGLE = 3
@@ -79,11 +79,11 @@ def block_keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 def _sets(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Size, hash and block keys of every set; a task sends the keys of equal sets once."""
     def run(batches):
-        cache, sent = Hashes(), set()
+        sent = set()
         for batch in batches:
             sids, sizes, keys = [], [], []
             for body in batch.column(1).to_pylist():
-                elements = set_of(cache.of(space_words(body.lower() if body else None)), shingle)
+                elements = set_of(word_hashes(body.lower() if body else None), shingle)
                 sid = xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
                 keys.append([] if sid in sent else block_keys(elements, percent).view(np.int64))
                 if len(sent) > 1_000_000:
@@ -103,11 +103,10 @@ def _contents(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["id"])).select(wanted["sid"], "body")
 
     def run(batches):
-        cache = Hashes()
         for batch in batches:
             rows = []
             for sid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                elements = set_of(cache.of(space_words(body.lower() if body else None)), shingle)
+                elements = set_of(word_hashes(body.lower() if body else None), shingle)
                 # Another text of the same id has another set.
                 if xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63) == sid:
                     rows.append((sid, len(elements), elements.tobytes()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import Hashes, rolled, space_words
+from .common import rolled, space_words, word_hashes
 
 WINDOW = 20
 GRAM = 6
@@ -22,13 +22,26 @@ GRAM = 6
 RESULT = "n_words long, spans array<struct<start:long,end:long>>, kept string"
 
 
+_PLACE = np.uint64((1 << 20) - 1)
+
+
 def anchors_of(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor of every window, by the window's first word: its place, and the hash of its words."""
+    """Anchor of every window, by the window's first word: its place (the first of equal ones), and the hash of its words."""
     if len(hashes) < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     grams = rolled(hashes, gram)
     span = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
+    if len(grams) > int(_PLACE):
+        at = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(len(grams) - span + 1)
+        return at, grams[at]
+    # The place stands in the low bits, so the least is the first of equal ones; minima of wider spans come from two narrower.
+    least, width = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
+    while width * 2 <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        least = np.minimum(least[: width - span], least[span - width :])
+    at = (least & _PLACE).astype(np.int64)
     return at, grams[at]
 
 
@@ -41,11 +54,10 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def _anchors(keyed: DataFrame, window: int) -> DataFrame:
     """``hash`` of each distinct anchor of a document, and at how many places it is one."""
     def run(batches):
-        cache = Hashes()
         for batch in batches:
             hashes, counts, sizes = [], [], []
             for body in batch.column(2).to_pylist():
-                at, grams = anchors_of(cache.of(space_words(body)), window)
+                at, grams = anchors_of(word_hashes(body), window)
                 places = np.flatnonzero(np.diff(at, prepend=-1))
                 keys, n = np.unique(grams[places], return_counts=True)
                 hashes.append(keys)
@@ -58,12 +70,16 @@ def _anchors(keyed: DataFrame, window: int) -> DataFrame:
     return keyed.mapInArrow(run, "id long, tie long, hash long, n long")
 
 
-def _indexed(flagged: np.ndarray | None, words: list[bytes], cache: Hashes, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _indexed(flagged: np.ndarray | None, body: bytes | None, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes, and the first words of the windows whose anchor is repeated somewhere."""
-    if flagged is None or len(words) < window:
+    if flagged is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    hashes = cache.of(words)
-    return hashes, np.flatnonzero(np.isin(anchors_of(hashes, window)[1].view(np.int64), flagged))
+    hashes = word_hashes(body)
+    at, grams = anchors_of(hashes, window)
+    # Windows next to each other mostly have the same anchor, which is looked up once.
+    turns = np.flatnonzero(np.diff(at, prepend=-1))
+    hit = np.isin(grams[turns].view(np.int64), flagged)
+    return hashes, np.flatnonzero(np.repeat(hit, np.diff(turns, append=len(at))))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -83,13 +99,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         keyed["id"], keyed["tie"], "body", "flags")
 
     def windows(batches):
-        cache = Hashes()
         for batch in batches:
             first, second, places, sizes = [], [], [], []
             flags_ = batch.column(3)
             for i, body in enumerate(batch.column(2).to_pylist()):
                 flagged = flags_[i].values.to_numpy() if flags_[i].is_valid else None
-                hashes, at = _indexed(flagged, space_words(body) if flagged is not None else [], cache, window)
+                hashes, at = _indexed(flagged, body, window)
                 sizes.append(len(at))
                 if len(at):
                     first.append(rolled(hashes, window, 1)[at])
@@ -111,13 +126,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         parsed["id"], "body", "flags", "firsts")
 
     def cut(batches):
-        cache = Hashes()
         for batch in batches:
             flags_, firsts_ = batch.column(2), batch.column(3)
             n_words, spans, kept = [], [], []
             for i, body in enumerate(batch.column(1).to_pylist()):
                 words = space_words(body)
-                _, at = _indexed(flags_[i].values.to_numpy() if flags_[i].is_valid else None, words, cache, window)
+                _, at = _indexed(flags_[i].values.to_numpy() if flags_[i].is_valid else None, body, window)
                 if firsts_[i].is_valid:
                     at = np.setdiff1d(at, firsts_[i].values.to_numpy(), assume_unique=True)
                 n_words.append(len(words))
