@@ -119,23 +119,23 @@ def _contents(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """For each member of a pivot: sizes, whether they are linked, and the elements in which they differ."""
+    """For each member of a pivot: sizes, whether they are linked, and, if the pivot has ``many``, the elements in which they differ."""
     own = pairs.join(contents, "sid")
     pivot = contents.select(F.col("sid").alias("pivot"), F.col("elements").alias("of_pivot"))
 
     def run(batches):
         for batch in batches:
             linked, more = [], []
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for many, a, b in zip(*[batch.column(k).to_pylist() for k in (3, 4, 5)]):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 differ = np.setxor1d(a, b, assume_unique=True)
                 linked.append((100 - percent) * (len(a) + len(b)) >= (100 + percent) * len(differ))
-                more.append(differ.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked), pa.array(more, pa.list_(pa.int64()))],
-                                             names=["pivot", "sid", "n", "linked", "more"])
+                more.append(differ.view(np.int64) if many else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked), pa.array(more, pa.list_(pa.int64()))],
+                                             names=["pivot", "sid", "n", "many", "linked", "more"])
 
-    return stored(own.join(pivot, "pivot").select("pivot", "sid", "n", "elements", "of_pivot")
-                  .mapInArrow(run, "pivot long, sid long, n long, linked boolean, more array<long>"), "compared")
+    return stored(own.join(pivot, "pivot").select("pivot", "sid", "n", "many", "elements", "of_pivot")
+                  .mapInArrow(run, "pivot long, sid long, n long, many boolean, linked boolean, more array<long>"), "compared")
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -170,7 +170,8 @@ def _differ_at_most(a: Column, b: Column, percent: int) -> Column:
 
 def _apart(compared: DataFrame, percent: int) -> list[DataFrame]:
     """Links between sets of one pivot of which one at least is not linked to it, as frames of ``a``, ``b``."""
-    rest = compared.where(~F.col("linked")).select("pivot").distinct()
+    # A set alone with its pivot has been compared with all it met.
+    rest = compared.where(F.col("many") & ~F.col("linked")).select("pivot").distinct()
     family = compared.join(rest, "pivot", "left_semi")
     each = family.select("pivot", "sid", "n", "linked", F.size("more").alias("d"), F.explode("more").alias("x"))
     shared = each.groupBy("pivot", "x").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") > 1)
@@ -238,7 +239,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
     sets = _sets(body, percent, shingle)
-    nodes = settle(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id")), "nodes")
+    nodes = settle(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     each = sets.select("sid", F.explode("keys").alias("key"))
     repeated = settle(each.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key"), "repeated")
     lists = settle(each.join(repeated, "key", "left_semi").distinct(), "lists")
@@ -246,8 +247,13 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     weight = lists.join(others, "key").groupBy("sid").agg(F.sum("others").alias("w"))
     pivots = lists.join(weight, "sid").groupBy("key").agg(F.max(F.struct("w", "sid"))["sid"].alias("pivot"))
     pairs = settle(lists.join(pivots, "key").where(F.col("sid") != F.col("pivot")).select("pivot", "sid").distinct(), "pairs")
+    # Lengths alone rule a link out; such a pair only matters where the pivot has other sets.
+    sized = pairs.join(pairs.groupBy("pivot").agg((F.count(F.lit(1)) > 1).alias("many")), "pivot").join(
+        nodes.select("sid", F.col("n").alias("a")), "sid").join(nodes.select(F.col("sid").alias("pivot"), F.col("n").alias("b")), "pivot")
+    near = 100 * F.least("a", "b") >= percent * F.greatest("a", "b")
+    pairs = settle(sized.where(F.col("many") | near).select("pivot", "sid", "many"), "pairs")
     members = pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid"))).distinct()
-    compared = _compared(pairs, _contents(body, settle(nodes.join(members, "sid", "left_semi"), "members"), shingle), percent)
+    compared = _compared(pairs, _contents(body, settle(nodes.join(members, "sid", "left_semi").select("sid", "id"), "members"), shingle), percent)
     roots = star_components(_union(_apart(compared, percent)))
     rooted = _labelled(nodes, roots)
     least = rooted.groupBy("label").agg(F.min("id").alias("component"))
