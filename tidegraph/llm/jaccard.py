@@ -28,7 +28,7 @@ PERCENT = 90
 SHINGLE = 3
 CLASS_GROWTH = 1.4
 BROADCAST_IDS = 500_000
-"""Ids sent to all executors at most; more are joined by a shuffle."""
+"""Ids, or pairs of them, sent to all executors at most; more are joined by a shuffle."""
 
 SETS = "id long, sid long, n long, keys array<long>"
 
@@ -97,8 +97,11 @@ def _sets(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     return stored(docs.mapInArrow(run, SETS), "sets")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``sid``, ``n`` and ``elements`` (packed) of the sets in ``wanted`` (``id`` of one document, ``sid``)."""
+def _contents(docs: DataFrame, wanted: DataFrame, shingle: int, repeated_rows: bool) -> DataFrame:
+    """``sid``, ``n`` and ``elements`` (packed) of the sets in ``wanted`` (``id`` of one document, ``sid``).
+
+    Sets come up twice only with ``repeated_rows``, when a wanted document is there more than once.
+    """
     few = wanted.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["id"])).select(wanted["sid"], "body")
 
@@ -115,12 +118,12 @@ def _contents(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                                                   pa.array([r[2] for r in rows], pa.binary())], names=["sid", "n", "elements"])
 
     found = chosen.mapInArrow(run, "sid long, n long, elements binary")
-    return stored(found.dropDuplicates(["sid"]), "contents")
+    return stored(found.dropDuplicates(["sid"]) if repeated_rows else found, "contents")
 
 
 def _compared(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """For each member of a pivot: sizes, whether they are linked, and, if the pivot has ``many``, the elements in which they differ."""
-    own = pairs.join(contents, "sid")
+    own = contents.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs, "sid")
     pivot = contents.select(F.col("sid").alias("pivot"), F.col("elements").alias("of_pivot"))
 
     def run(batches):
@@ -241,7 +244,8 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sets = _sets(body, percent, shingle)
     nodes = settle(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     each = sets.select("sid", F.explode("keys").alias("key"))
-    repeated = settle(each.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key"), "repeated")
+    # Keys found once, most of them, are out after a count; those of copies of one set give no pairs below.
+    repeated = settle(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated")
     lists = settle(each.join(repeated, "key", "left_semi").distinct(), "lists")
     others = lists.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
     weight = lists.join(others, "key").groupBy("sid").agg(F.sum("others").alias("w"))
@@ -253,7 +257,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     near = 100 * F.least("a", "b") >= percent * F.greatest("a", "b")
     pairs = settle(sized.where(F.col("many") | near).select("pivot", "sid", "many"), "pairs")
     members = pairs.select("sid").unionByName(pairs.select(F.col("pivot").alias("sid"))).distinct()
-    compared = _compared(pairs, _contents(body, settle(nodes.join(members, "sid", "left_semi").select("sid", "id"), "members"), shingle), percent)
+    wanted = settle(nodes.join(members, "sid", "left_semi").select("sid", "id"), "members")
+    rows = sets.where("n > 0").groupBy("sid", "id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    again = not rows.join(wanted, (rows["sid"] == wanted["sid"]) & rows["id"].eqNullSafe(wanted["id"]), "left_semi").isEmpty()
+    compared = _compared(pairs, _contents(body, wanted, shingle, again), percent)
     roots = star_components(_union(_apart(compared, percent)))
     rooted = _labelled(nodes, roots)
     least = rooted.groupBy("label").agg(F.min("id").alias("component"))
