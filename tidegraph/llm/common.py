@@ -14,6 +14,9 @@ from ..session import scratch_path
 CACHE_WORDS = 200_000
 """Distinct words that a Python worker remembers before it starts anew; a bound on memory, not on what is processed."""
 
+TEXTS_AT_ONCE = 500
+"""Texts whose Python objects are held at the same time; larger batches are worked on in slices."""
+
 _FOLD = bytes(range(256)).lower()
 _WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(0x80, 0x100))
 _ALNUM = bytes(_FOLD[b] if _FOLD[b] in _WORD_BYTES else 0x20 for b in range(256))
@@ -32,8 +35,10 @@ def over_texts(docs: DataFrame, text: str, result: T.StructType, make: Callable[
 
     def run(batches):
         work = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), work(batch.column(1).to_pylist())], names=["row", "result"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(lo, TEXTS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([batch.column(0), work(batch.column(1).to_pylist())], names=["row", "result"])
 
     return docs.select(F.struct(*carried.columns).alias("row"), F.col(text).cast("binary").alias("body")).mapInArrow(run, schema)
 
