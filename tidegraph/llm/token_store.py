@@ -74,7 +74,7 @@ class ChunkIds(dict):
             self.tails[tail] = self._whole(tail)
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= CACHE_WORDS:
+            if len(self.words) >= 2 * CACHE_WORDS:
                 self.words.clear()
             spelled = word if plain else word.encode().decode("latin-1").translate(BYTE_LEVEL)
             ids = self.words[word] = _packed([t.id for t in self.model.tokenize(spelled)])
