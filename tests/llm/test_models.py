@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -125,6 +126,32 @@ def test_exchange_never_makes_one_word_worse():
     assert (moved[1::2] == classes[1::2]).all() and (moved != classes).any()
 
 
+def test_words_have_their_own_class(spark):
+    """Two words whose hashes have the same low 18 bits differ in class when their neighbours do."""
+    seen, k = {}, 0
+    while (low := xxhash.xxh3_64_intdigest(f"v{k}".encode()) % (1 << 18)) not in seen:
+        seen[low] = k
+        k += 1
+    one, two = f"v{seen[low]}", f"v{k}"
+    docs = frame(spark, [(i, f"p {one} q" if i % 2 else f"r {two} s") for i in range(40)])
+    blocks = class_lm.coded(docs, F.lit(False))
+    classes = class_lm.fit(blocks, class_lm.vocabulary(blocks)).classes
+    assert classes[class_lm._buckets([one.encode()])[0]] != classes[class_lm._buckets([two.encode()])[0]]
+
+
+def test_exchange_sweeps_until_the_gain_is_small(spark, monkeypatch):
+    docs = frame(spark, [(i, t) for i, t, _ in spoken(5, 150)] + prose(8, 60))
+    blocks = class_lm.coded(docs, F.lit(False))
+    seen, count = [], class_lm._class_bigrams
+    monkeypatch.setattr(class_lm, "_class_bigrams", lambda *a: seen.append(count(*a)) or seen[-1])
+    model = class_lm.fit(blocks, class_lm.vocabulary(blocks))
+    values = [class_lm.likelihood(p) for p in seen]
+    best = np.maximum.accumulate(values)
+    paid = np.diff(values) + values[:-1] - best[:-1] > class_lm.TOLERANCE * seen[0].sum()
+    assert len(paid) > 3 and paid[-3] and not paid[-2:].any() and not any(not a and not b for a, b in zip(paid[:-2], paid[1:-1]))
+    assert class_lm.likelihood(model.pairs) == max(values)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(20, "held out")]])
 def test_class_model_of_little(spark, rows):
     docs = frame(spark, rows)

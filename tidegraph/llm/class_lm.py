@@ -1,14 +1,17 @@
 """Brown class-based bigrams: P(word | word before) = P(class | class before) * P(word | class).
 
-The corpus is coded once, block by block, as numbers into the block's own dictionary. Words are assigned to
-classes by exchange clustering over all training tokens; a word's class is that of its hash bucket, so the table of
-classes has a fixed size (``BUCKETS`` bytes) whatever the vocabulary. Counts of words are exact and stay in Spark:
-every block's dictionary is joined with the vocabulary and gets its counts back.
+The corpus is coded once, block by block, as numbers into the block's own dictionary. Every word has its own class, assigned
+by exchange clustering over all training tokens, until the likelihood gains no more than ``TOLERANCE``. Words are spread
+over parts by hash; in a sweep every block sends each part the neighbour classes of its words, added up within the block,
+and the part adds up the blocks, moves its words and sends the classes back. Blocks lie in buckets, so they never
+move, and no task holds the whole vocabulary. Counts of words are exact and stay in Spark: every block's dictionary is
+joined with the vocabulary and gets its counts back.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -18,16 +21,18 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import settle, width
+from ..session import scratch_path, settle, width
 from .common import space_words, stored
 
 CLASSES = 16
 """Word classes; one more holds the end of a text."""
 END = CLASSES
-BUCKETS = 1 << 18
-CHUNK = 1 << 10
-SWEEPS = 3
-"""Passes of the exchange; each lets half of the buckets move, in turn."""
+TOLERANCE = 1e-3
+"""Nats per training token; the exchange ends when two sweeps in a row, a turn of each half of the words, gain no more."""
+PARTS = 4
+"""Parts of the vocabulary for each shuffle partition."""
+WORDS_AT_ONCE = 50_000
+"""Words of a part whose counts are laid out at the same time."""
 BLOCK_DOCS = 4000
 ALPHA = 0.5
 """Added to every class transition."""
@@ -50,16 +55,29 @@ def coded(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
                 index = _Index()
                 parts = [np.fromiter(map(index.__getitem__, words), np.uint32, len(words))
                          for words in map(space_words, (b.lower() if b else None for b in bodies))]
-                codes = np.concatenate(parts)
-                train = [p for p, h in zip(parts, held) if not h]
-                seen = np.bincount(np.concatenate(train), minlength=len(index)) if train else np.zeros(len(index), np.int64)
+                # Words in the order of their keys: those of a part of the vocabulary stand together.
+                keys = _buckets(list(index))
+                order = np.argsort(keys)
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                codes, names = rank[np.concatenate(parts)], list(index)
+                keep = np.repeat(~np.array(held, bool), [len(p) for p in parts])
+                seen = np.bincount(codes[keep], minlength=len(index))
                 row = {"block": (task << 32) + number, "ids": [i or 0 for i in ids], "has_id": [i is not None for i in ids], "held": held,
-                       "sizes": [len(p) for p in parts], "codes": pack(_planes(codes)), "words": list(index), "seen": seen.tolist()}
+                       "sizes": [len(p) for p in parts], "codes": pack(_planes(codes)), "words": [names[k] for k in order], "seen": seen.tolist()}
                 number += 1
                 yield pa.RecordBatch.from_pylist([row], schema=BLOCK_ARROW)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text).cast("binary").alias("body"))
-    return stored(rows.mapInArrow(run, BLOCK), "blocks")
+    return _in_buckets(rows.mapInArrow(run, BLOCK))
+
+
+def _in_buckets(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written once, in buckets by number: joins by block shuffle the other side only."""
+    spark, name = blocks.sparkSession, f"tidegraph_blocks_{uuid.uuid4().hex}"
+    (blocks.write.bucketBy(width(spark), "block").format("parquet").option("compression", "zstd")
+     .option("path", scratch_path(spark, "blocks")).saveAsTable(name))
+    return spark.table(name)
 
 
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("has_id", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())),
@@ -82,7 +100,16 @@ def _codes(data: bytes) -> np.ndarray:
 
 
 def _buckets(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.int64) & (BUCKETS - 1)
+    """The 64-bit key of every word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _rows(batches, *columns: str):
+    """Row by row, so that the Python objects of one block are there at a time."""
+    for batch in batches:
+        of = [batch.column(c) for c in columns]
+        for k in range(batch.num_rows):
+            yield [c[k].as_py() for c in of]
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
@@ -101,55 +128,65 @@ def _sequence(sizes: list[int], values: np.ndarray, end) -> tuple[np.ndarray, np
     return out, ends
 
 
-def _neighbours(blocks: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Per chunk of buckets, how often each bucket has each class to its left and right; chunk -1 has the class bigrams.
+def _classed(blocks: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """``blocks`` with the packed classes of their words; null before the first sweep."""
+    if classes is None:
+        return blocks.withColumn("classes", F.lit(None).cast("binary"))
+    return blocks.join(classes.where("block >= 0").hint("shuffle_hash"), "block", "left")
 
-    A task adds up in one array of fixed size and sends it in pieces; pieces of a chunk are added as they come.
-    """
-    shared = blocks.sparkSession.sparkContext.broadcast(classes)
+
+def _own_classes(packed: bytes | None, words: list[bytes], start: np.ndarray) -> np.ndarray:
+    """Classes of a block's words; ``start`` has the keys of the words that are alone in their class at first."""
+    if packed is not None:
+        return np.frombuffer(packed, np.uint8)
+    keys, out = _buckets(words), np.full(len(words), CLASSES - 1, np.uint8)
+    for c, key in enumerate(start):
+        out[keys == key] = c
+    return out
+
+
+def _training(held: list[bool], sizes: list[int], codes: bytes, end: int) -> np.ndarray:
+    """Codes of the training texts of a block one after the other with ``end`` behind each."""
+    keep = np.repeat(~np.array(held, bool), np.array(sizes, np.int64))
+    return _sequence([n for n, h in zip(sizes, held) if not h], _codes(codes)[keep], end)[0].astype(np.int64)
+
+
+def _cells(at: np.ndarray, own: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each word has each class to its left and right: places in a table of 2 * WIDE columns, and counts."""
+    before, after, word = np.concatenate([[END], own[:-1]]), np.append(own[1:], END), at < words
+    places = np.concatenate([at[word] * (2 * WIDE) + before[word], at[word] * (2 * WIDE) + WIDE + after[word]])
+    if words * 2 * WIDE > 4 * len(places) + (1 << 20):
+        return np.unique(places, return_counts=True)
+    table = np.bincount(places, minlength=1)
+    found = np.flatnonzero(table)
+    return found, table[found]
+
+
+SENT = "part int, block long, keys binary, old binary, sizes binary, cells binary, n binary"
+SENT_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "old", "sizes", "cells", "n"))])
+
+
+def _neighbours(classed: DataFrame, start: np.ndarray, parts: int) -> DataFrame:
+    """Per block and part of the vocabulary: the words' keys and classes, and their neighbours' classes in the block, counted."""
+    shared = classed.sparkSession.sparkContext.broadcast(start)
 
     def count(batches):
-        table = np.append(shared.value, np.uint8(END))
-        cells, pairs, seen = np.zeros(BUCKETS * 2 * WIDE, np.int32), np.zeros(WIDE * WIDE, np.int64), False
-        for batch in batches:
-            for held, sizes, packed, words in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                keep = np.repeat(~np.array(held, bool), np.array(sizes, np.int64))
-                train = [n for n, h in zip(sizes, held) if not h]
-                if not train:
-                    continue
-                seen = True
-                at, _ = _sequence(train, _buckets(words)[_codes(packed)[keep]], BUCKETS)
-                own = table[at].astype(np.int64)
-                before = np.concatenate([[END], own[:-1]])
-                pairs += np.bincount(before * WIDE + own, minlength=WIDE * WIDE)
-                after = np.append(own[1:], END)
-                word = at < BUCKETS
-                for key in (at[word] * (2 * WIDE) + before[word], at[word] * (2 * WIDE) + WIDE + after[word]):
-                    keys, n = np.unique(key, return_counts=True)
-                    cells[keys] += n.astype(np.int32)
-        if seen:
-            pack = zstandard.ZstdCompressor(level=3).compress
-            blobs = [pack(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()) for x in cells.reshape(BUCKETS // CHUNK, -1)]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1, *range(len(blobs))], pa.int32()),
-                                              "blob": pa.array([pack(pairs.astype("<i8").tobytes()), *blobs], pa.binary())})
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, blob in zip(*[batch.column(k).to_pylist() for k in range(2)]):
-                raw = zstandard.ZstdDecompressor().decompress(blob)
-                new = np.frombuffer(raw, "<i8") if chunk < 0 else np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-                sums[chunk] = sums.get(chunk, 0) + new.astype(np.int64)
-        for chunk, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
-
-    pieces = blocks.select("held", "sizes", "codes", "words").mapInArrow(count, "chunk int, blob binary")
-    return stored(pieces.repartition(width(blocks.sparkSession), "chunk").mapInArrow(merge, "chunk int, blob binary"), "neighbours")
-
-
-def _pairs(neighbours: DataFrame) -> np.ndarray:
-    rows = neighbours.where(F.col("chunk") == -1).collect()
-    return np.frombuffer(rows[0]["blob"], np.int64).reshape(WIDE, WIDE) if rows else np.zeros((WIDE, WIDE), np.int64)
+        for block, held, sizes, codes, words, packed in _rows(batches, "block", "held", "sizes", "codes", "words", "classes"):
+            if not words:
+                continue
+            old, keys = _own_classes(packed, words, shared.value), _buckets(words)
+            at = _training(held, sizes, codes, len(words))
+            places, n = _cells(at, np.append(old, np.uint8(END))[at].astype(np.int64), len(words))
+            each = np.bincount(places // (2 * WIDE), minlength=len(words)).astype(np.uint8)
+            cells, n = (places % (2 * WIDE)).astype(np.uint8), n.astype("<u4")
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            bounds, upto = np.append(first, len(words)), np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+            rows = [(int(part[lo]), block, keys[lo:hi].tobytes(), old[lo:hi].tobytes(), each[lo:hi].tobytes(),
+                     cells[upto[lo] : upto[hi]].tobytes(), n[upto[lo] : upto[hi]].tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SENT_ARROW)], schema=SENT_ARROW)
+
+    return classed.select("block", "held", "sizes", "codes", "words", "classes").mapInArrow(count, SENT)
 
 
 def transitions(pairs: np.ndarray) -> np.ndarray:
@@ -158,7 +195,7 @@ def transitions(pairs: np.ndarray) -> np.ndarray:
 
 
 def exchange(counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, movable: np.ndarray) -> np.ndarray:
-    """New classes of some buckets: each movable one goes where the training texts become most likely, the others fixed."""
+    """New classes of some words: each movable one goes where the training texts become most likely, the others fixed."""
     log_p, sizes = transitions(pairs), np.log(pairs.sum(axis=0)[:CLASSES] + 1.0)
     left, right = counts[:, :WIDE].astype(np.float64), counts[:, WIDE:].astype(np.float64)
     gain = left @ log_p[:, :CLASSES] + right @ log_p[:CLASSES].T - left.sum(axis=1, keepdims=True) * sizes
@@ -167,100 +204,145 @@ def exchange(counts: np.ndarray, classes: np.ndarray, pairs: np.ndarray, movable
     return np.where(movable & better & (left.sum(axis=1) > 0), best, classes).astype(np.uint8)
 
 
-def cluster(blocks: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every bucket, and the class bigrams of the training texts under it.
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of the training texts in nats, but for the part that is the same whatever the classes."""
+    total = lambda n: float((n * np.log(np.maximum(n, 1))).sum())
+    return total(pairs) - total(pairs.sum(axis=0)) - total(pairs.sum(axis=1))
+
+
+def _moved(sent: DataFrame, pairs: np.ndarray, turn: int) -> DataFrame:
+    """``block`` and the new ``classes`` of its words; block -1 has the number of training words in each class."""
+    spark = sent.sparkSession
+    shared = spark.sparkContext.broadcast(pairs)
+
+    def move(batches):
+        rows = list(_rows(batches, *SENT_ARROW.names))
+        if not rows:
+            return
+        keys, old, sizes, cells, n = (np.frombuffer(b"".join(r[k] for r in rows), kind)
+                                      for k, kind in ((2, np.uint64), (3, np.uint8), (4, np.uint8), (5, np.uint8), (6, "<u4")))
+        words, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        of = np.repeat(where, sizes)
+        order = np.argsort(of, kind="stable")
+        of, cells, n = of[order], cells[order], n[order]
+        classes, used = old[first], np.zeros(CLASSES, np.int64)
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            hi = min(lo + WORDS_AT_ONCE, len(words))
+            a, b = np.searchsorted(of, [lo, hi])
+            counts = np.bincount((of[a:b] - lo) * (2 * WIDE) + cells[a:b], n[a:b], (hi - lo) * 2 * WIDE).reshape(-1, 2 * WIDE)
+            # In the first sweep all may move: nearly all start in one class.
+            movable = np.ones(hi - lo, bool) if turn == 0 else words[lo:hi] % np.uint64(2) == np.uint64(turn % 2)
+            classes[lo:hi] = exchange(counts, classes[lo:hi], shared.value, movable)
+            used += np.bincount(classes[lo:hi][counts[:, :WIDE].sum(axis=1) > 0], minlength=CLASSES)
+        back, at, out = classes[where].tobytes(), 0, []
+        for r in rows:
+            out.append((r[1], r[0], back[at : at + len(r[3])]))
+            at += len(r[3])
+        out.append((-1, 0, used.tobytes()))
+        block, part, packed = zip(*out)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int32()), "classes": pa.array(packed, pa.binary())})
 
-    It starts with each of the most frequent words (one fewer than classes) alone and all others together.
-    """
-    spark = blocks.sparkSession
-    top = vocab.where(F.col("n") > 0).orderBy(F.desc("n"), "word").limit(CLASSES - 1).collect()
-    classes = np.full(BUCKETS, CLASSES - 1, np.uint8)
-    classes[_buckets([bytes(r["word"]) for r in top])] = np.arange(len(top), dtype=np.uint8)
-    for sweep in range(sweeps):
-        neighbours = _neighbours(blocks, classes)
-        shared = spark.sparkContext.broadcast((classes, _pairs(neighbours), sweep))
-
-        def move(batches):
-            old, pairs, turn = shared.value
-            for batch in batches:
-                for chunk, blob in zip(*[batch.column(k).to_pylist() for k in range(2)]):
-                    at = np.arange(chunk * CHUNK, (chunk + 1) * CHUNK)
-                    # In the first sweep all may move: nearly all start in one class.
-                    movable = np.ones(CHUNK, bool) if turn == 0 else (at + turn) % 2 == 0
-                    new = exchange(np.frombuffer(blob, np.int64).reshape(CHUNK, -1), old[at], pairs, movable)
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "classes": pa.array([new.tobytes()], pa.binary())})
-
-        moved = neighbours.where(F.col("chunk") >= 0).mapInArrow(move, "chunk int, classes binary")
-        classes = classes.copy()
-        for r in moved.collect():  # BUCKETS bytes in all
-            classes[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["classes"], np.uint8)
-    return classes, _pairs(_class_bigrams(blocks, classes))
-
-
-def _class_bigrams(blocks: DataFrame, classes: np.ndarray) -> DataFrame:
-    shared = blocks.sparkSession.sparkContext.broadcast(classes)
+    def gather(rows):
+        import pandas as pd
+
+        block, packed = rows["block"].iloc[0], rows.sort_values("part")["classes"]
+        whole = b"".join(packed) if block >= 0 else sum(np.frombuffer(x, np.int64) for x in packed).tobytes()
+        return pd.DataFrame({"block": [block], "classes": [whole]})
+
+    back = sent.repartition(width(spark), "part").mapInArrow(move, "block long, part int, classes binary")
+    return stored(back.groupBy("block").applyInPandas(gather, "block long, classes binary"), "classes")
+
+
+def _class_bigrams(classed: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Class bigrams of the training texts."""
+    shared = classed.sparkSession.sparkContext.broadcast(start)
 
     def count(batches):
-        table, pairs = np.append(shared.value, np.uint8(END)), np.zeros(WIDE * WIDE, np.int64)
-        for batch in batches:
-            for held, sizes, packed, words in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                keep = np.repeat(~np.array(held, bool), np.array(sizes, np.int64))
-                train = [n for n, h in zip(sizes, held) if not h]
-                own = table[_sequence(train, _buckets(words)[_codes(packed)[keep]], BUCKETS)[0]].astype(np.int64)
-                if len(own):
-                    pairs += np.bincount(np.concatenate([[END], own[:-1]]) * WIDE + own, minlength=WIDE * WIDE)
+        pairs = np.zeros(WIDE * WIDE, np.int64)
+        for held, sizes, codes, words, packed in _rows(batches, "held", "sizes", "codes", "words", "classes"):
+            table = np.append(_own_classes(packed, words, shared.value), np.uint8(END))
+            own = table[_training(held, sizes, codes, len(words))].astype(np.int64)
+            if len(own):
+                pairs += np.bincount(np.concatenate([[END], own[:-1]]) * WIDE + own, minlength=WIDE * WIDE)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(np.flatnonzero(pairs), pa.int32()), "n": pa.array(pairs[pairs > 0], pa.int64())})
 
-    found = blocks.select("held", "sizes", "codes", "words").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = classed.select("held", "sizes", "codes", "words", "classes").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = np.zeros(WIDE * WIDE, np.int64)
+    for r in found.collect():  # at most WIDE * WIDE rows
+        pairs[r["pair"]] = r["n"]
+    return pairs.reshape(WIDE, WIDE)
 
-    def pack(rows):
-        import pandas as pd
 
-        dense = np.zeros(WIDE * WIDE, np.int64)
-        dense[rows["pair"]] = rows["n"]
-        return pd.DataFrame({"chunk": [-1], "blob": [dense.tobytes()]})
+def cluster(blocks: DataFrame, vocab: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of every block's words, the class bigrams under them, training words per class, and the keys it starts with.
 
-    return found.groupBy(F.lit(-1).alias("chunk")).applyInPandas(pack, "chunk int, blob binary")  # at most WIDE * WIDE rows
+    It starts with each of the most frequent words (one fewer than classes) alone and all others together (no table of
+    classes), sweeps while that pays, and returns the most likely classes it has seen.
+    """
+    top = vocab.where(F.col("n") > 0).orderBy(F.desc("n"), "word").limit(CLASSES - 1).collect()
+    start = _buckets([bytes(r["word"]) for r in top])
+    used = np.zeros(CLASSES, np.int64)
+    used[: len(top)] = 1
+    used[CLASSES - 1] = vocab.where(F.col("n") > 0).count() - len(top)
+    classes, parts, turn, flat = None, PARTS * width(blocks.sparkSession), 0, 0
+    pairs = _class_bigrams(_classed(blocks, None), start)
+    best, most = (None, pairs, used), likelihood(pairs)
+    while flat < 2:
+        classes = _moved(_neighbours(_classed(blocks, classes), start, parts), pairs, turn)
+        pairs, turn = _class_bigrams(_classed(blocks, classes), start), turn + 1
+        now = likelihood(pairs)
+        flat = 0 if now - most > tolerance * pairs.sum() else flat + 1
+        if now > most:
+            row = classes.where("block = -1").first()
+            best, most = (classes, pairs, np.frombuffer(row["classes"], np.int64)), now
+    return *best, start
+
+
+class WordClasses:
+    """``table`` has every word's ``key`` and ``class``. Indexing by key is for looking at small models: it collects the table."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self._found = table, None
+
+    def __getitem__(self, key) -> int:
+        if self._found is None:
+            self._found = {r["key"] % (1 << 64): r["class"] for r in self.table.collect()}
+        return self._found[int(key)]
+
+
+def _word_classes(classed: DataFrame, start: np.ndarray) -> WordClasses:
+    def run(batches):
+        for words, packed in _rows(batches, "words", "classes"):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(_buckets(words).view(np.int64)), "class": pa.array(_own_classes(packed, words, start).astype(np.int32))})
+
+    return WordClasses(classed.select("words", "classes").mapInArrow(run, "key long, class int").distinct())
 
 
 class Model(NamedTuple):
-    """All that scoring needs besides the counts of a block's words; its size does not depend on the corpus."""
+    """The classes of words, by block and by word, and what scoring needs besides them, whose size does not depend on the corpus."""
 
-    classes: np.ndarray
+    classes: WordClasses | None
+    classed: DataFrame | None
     pairs: np.ndarray
     class_words: np.ndarray
     class_tokens: np.ndarray
     tokens: int
     distinct: int
     texts: int
+    start: np.ndarray
 
 
-def fit(blocks: DataFrame, vocab: DataFrame, sweeps: int = SWEEPS) -> Model:
-    classes, pairs = cluster(blocks, vocab, sweeps)
-    shared = blocks.sparkSession.sparkContext.broadcast(classes)
-
-    def sizes(batches):
-        tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            own = shared.value[_buckets(batch.column(0).to_pylist())]
-            tokens += np.bincount(own, batch.column(1).to_numpy(zero_copy_only=False), minlength=CLASSES).astype(np.int64)
-            words += np.bincount(own, minlength=CLASSES)
-        yield pa.RecordBatch.from_pydict({"class": pa.array(range(CLASSES), pa.int32()), "tokens": pa.array(tokens), "words": pa.array(words)})
-
-    rows = (vocab.where(F.col("n") > 0).select("word", "n").mapInArrow(sizes, "class int, tokens long, words long")
-            .groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect())
-    class_tokens, class_words = np.zeros(WIDE, np.int64), np.zeros(WIDE, np.int64)
-    for r in rows:
-        class_tokens[r["class"]], class_words[r["class"]] = r["tokens"], r["words"]
-    texts = int(pairs[:, END].sum())
-    class_tokens[END], class_words[END] = texts, int(texts > 0)
-    return Model(classes, pairs, class_words, class_tokens, int(class_tokens.sum()), int(class_words.sum()), texts)
+def fit(blocks: DataFrame, vocab: DataFrame, tolerance: float = TOLERANCE) -> Model:
+    classes, pairs, used, start = cluster(blocks, vocab, tolerance)
+    classed, class_tokens, texts = _classed(blocks, classes), pairs.sum(axis=0), int(pairs[:, END].sum())
+    class_words = np.append(used, int(texts > 0))
+    return Model(_word_classes(classed, start), classed, pairs, class_words, class_tokens, int(class_tokens.sum()), int(class_words.sum()), texts, start)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", sweeps: int = SWEEPS) -> DataFrame:
+def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """Learn from the texts that are not held out and score every whole text.
 
     A-Z is lower-cased, words are runs of non-space, and an end follows every text and counts as a token. ``base_score`` is the
@@ -270,7 +352,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str
     """
     blocks = coded(docs, F.coalesce(held_out, F.lit(False)), id_col, text)
     vocab = vocabulary(blocks)
-    model = fit(blocks, vocab, sweeps)
+    model = fit(blocks, vocab, tolerance)
     entries = blocks.select("block", F.posexplode("words").alias("at", "word"))
     known = entries.join(vocab, "word").select("block", "at", "n")
 
@@ -282,29 +364,29 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [counts.tobytes()]})
 
     counts = known.groupBy("block").applyInPandas(gather, "block long, counts binary")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(classes=None, classed=None))
 
     def score(batches):
         m = shared.value
         step = transitions(m.pairs) / math.log(10)
-        table, empty = np.append(m.classes, np.uint8(END)), np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, has_id, held, sizes, packed, words, blob in zip(*[batch.column(k).to_pylist() for k in range(7)]):
-                codes = _codes(packed)
-                n = np.frombuffer(blob, np.int64)[codes] if blob else empty
-                at, ends = _sequence(sizes, _buckets(words)[codes], BUCKETS)
-                n, _ = _sequence(sizes, n, m.texts)
-                own = table[at]
-                before = np.concatenate([[END], own[:-1]])
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                base = np.log10((n + DELTA) / (m.tokens + DELTA * (m.distinct + 1)))
-                emit = np.log10((n + DELTA) / (m.class_tokens + DELTA * (m.class_words + 1))[own])
-                total = lambda x: np.add.reduceat(x, starts)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(ids, pa.int64(), mask=~np.array(has_id, bool)), "held_out": pa.array(held, pa.bool_()),
-                    "n_tokens": pa.array(np.array(sizes, np.int64) + 1), "n_known": pa.array(total((n > 0).astype(np.int64))),
-                    "train_tokens": pa.array(np.full(len(ids), m.tokens, np.int64)), "base_score": pa.array(total(base)),
-                    "score": pa.array(total(step[before, own] + emit))})
-
-    return (blocks.select("block", "ids", "has_id", "held", "sizes", "codes", "words").join(counts, "block", "left").drop("block")
-            .mapInArrow(score, SCORES))
+        empty = np.zeros(0, np.int64)
+        for ids, has_id, held, sizes, packed, words, own_classes, blob in _rows(
+                batches, "ids", "has_id", "held", "sizes", "codes", "words", "classes", "counts"):
+            codes = _codes(packed)
+            n = np.frombuffer(blob, np.int64)[codes] if blob else empty
+            at, ends = _sequence(sizes, codes, len(words))
+            n, _ = _sequence(sizes, n, m.texts)
+            own = np.append(_own_classes(own_classes, words, m.start), np.uint8(END))[at]
+            before = np.concatenate([[END], own[:-1]])
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            base = np.log10((n + DELTA) / (m.tokens + DELTA * (m.distinct + 1)))
+            emit = np.log10((n + DELTA) / (m.class_tokens + DELTA * (m.class_words + 1))[own])
+            total = lambda x: np.add.reduceat(x, starts)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(ids, pa.int64(), mask=~np.array(has_id, bool)), "held_out": pa.array(held, pa.bool_()),
+                "n_tokens": pa.array(np.array(sizes, np.int64) + 1), "n_known": pa.array(total((n > 0).astype(np.int64))),
+                "train_tokens": pa.array(np.full(len(ids), m.tokens, np.int64)), "base_score": pa.array(total(base)),
+                "score": pa.array(total(step[before, own] + emit))})
+
+    return (model.classed.select("block", "ids", "has_id", "held", "sizes", "codes", "words", "classes")
+            .join(counts.hint("shuffle_hash"), "block", "left").drop("block").mapInArrow(score, SCORES))
