@@ -246,3 +246,24 @@ def test_pipeline(spark, tmp_path):
     assert sorted(ids["decontamination"]) == sorted(clean) == sorted(ids["encoding"]) and len(clean) < len(ids["near_copies"])
     assert all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in seen["encoding"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(clean)
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    rng = random.Random(12)
+    pick = lambda n: rng.choices([f"t{k}" for k in range(900)], k=n)
+    texts = []
+    for changed in (5, 15, 35, 45, 50, 60, 90, 120):
+        words = pick(500)
+        # The same text with one passage replaced: a similarity of 0.98 down to 0.6 on five words.
+        texts += [words, words[:200] + pick(changed) + words[200 + changed :]]
+    texts += [["a"], ["a"], [], ["a", "b", "c", "d", "e", "f"], ["a", "b", "c", "d", "e", "g"]]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    root = list(range(len(sets)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    docs = frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == [i for i, r in enumerate(root) if i == r] and 7 not in kept and 15 in kept
