@@ -43,6 +43,16 @@ def test_increment_is_idempotent(spark, tmp_path):
     assert sorted(r.tweet_id for r in incremental.stored_scores(spark, target).collect()) == ["0", "1", "2"]
 
 
+
+def test_increment_finds_ids_stored_with_another_time(spark, tmp_path):
+    target = str(tmp_path / "scored")
+    assert incremental.score_increment(tweets(spark, "a", "b", "c"), target) == 3
+    again = tweets(spark, "a", "b").withColumn("recorded_at", F.col("recorded_at") + F.expr("interval 9 days"))
+    assert incremental.score_increment(again, target) == 0
+    assert incremental.score_increment(again.withColumn("recorded_at", F.lit(None).cast("timestamp")), target) == 0
+    assert incremental.score_increment(again.unionByName(tweets(spark, "d", start=7)), target) == 1
+
+
 def test_stream_repeated_files_add_nothing(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     tweets(spark, "a", "b").write.parquet(source)

@@ -26,14 +26,16 @@ def stored_scores(spark: SparkSession, path: str) -> DataFrame:
 def score_increment(tweets: DataFrame, target: str, limit: int | None = None, score: Score = score_by_lexicon) -> int:
     """Score what is not in the target yet, the newest first if limited, and append it.
 
-    What is present in the target counts as done, so a run can be stopped and repeated. Of the target only the time
-    span of ``tweets`` is read, so a small batch of a stream does not read the whole table. Returns the number of rows written.
+    What is present in the target counts as done, so a run can be stopped and repeated. Of the target the time span of
+    ``tweets`` is looked at first; ids not found there may be stored with another time and are looked up in the rest by id.
+    Returns the number of rows written.
     """
     at = F.col("recorded_at")
     first, last = tweets.agg(F.min(at), F.max(at)).first()
     done = stored_scores(tweets.sparkSession, target)
     within = at.isNull() if first is None else at.isNull() | at.between(F.lit(first), F.lit(last))
     todo = unscored(tweets, done.where(within))
+    todo = unscored(todo, done.where(~within).join(todo.select("tweet_id").distinct(), "tweet_id", "left_semi"))
     if limit:
         todo = newest(todo, limit)
     return _append(score(todo.dropDuplicates(["tweet_id"])), target)
