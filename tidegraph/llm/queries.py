@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import chat, class_lm, decontaminate, jaccard, language, lines, pieces, spotsigs, substrings, token_store
+from . import (chat, class_lm, decontaminate, divergence, html_text, jaccard, language, lines, merkle, pieces, spotsigs, substrings,
+               token_store)
 from .common import crc_part, flat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +177,78 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least_of LEFT JOI
 @query("op4_ngram_jaccard", LINKS_SQL)
 def op4(spark, sf):
     return jaccard.linked_components(table(spark, sf, "documents"))
+
+
+AUDIT_SQL = """WITH
+docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+words AS (SELECT lang, source, d, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1),
+sums AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY 1, 2),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT lang, source, term, coalesce(x.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(x.c, 0) + 1) // (coalesce(s.n, 0) + v) AS p,
+          1 + 1000000000::HUGEINT * (k.c + 1) // (l.n + v) AS q
+    FROM groups JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sums s USING (lang, source) LEFT JOIN counts x USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every_pair AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM every_pair LEFT JOIN pairs USING (lang, source, item)
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM cells WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op11_divergence_audit", AUDIT_SQL)
+def op11(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+MANIFEST_SQL = """WITH RECURSIVE
+docs AS (SELECT *, coalesce('v' || source, '-') AS k, replace(text, chr(10), '') AS text2,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''),
+        lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 2 = 0 AS odd FROM documents),
+fields AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM docs),
+leaves AS (SELECT doc_id, k, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN odd THEN sha256(head || coalesce(strlen(text2) || ':' || text2, '-')) END AS other FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM leaves),
+tree AS (SELECT k, 0 AS lvl, i, n, leaf AS node FROM placed
+    UNION ALL SELECT k, lvl + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY k, lvl, i // 3),
+subroots AS (SELECT k, node, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+over_tree AS (SELECT 0 AS lvl, i, n, node FROM subroots
+    UNION ALL SELECT lvl + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM over_tree WHERE n > 1 GROUP BY lvl, i // 3),
+all_nodes AS (SELECT k, lvl, i, n, node FROM tree UNION ALL SELECT '', 1000 + lvl, i, n, node FROM over_tree),
+sides AS (SELECT a.k, a.lvl, a.i, coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l,
+    coalesce(string_agg(b.node, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+    FROM all_nodes a JOIN all_nodes b ON a.k = b.k AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+low(doc_id, own, k, lvl, i, proof, h) AS (SELECT doc_id, i, k, 0, i, '', coalesce(other, leaf) FROM placed
+    UNION ALL SELECT doc_id, own, low.k, low.lvl + 1, low.i // 3, proof || l || r, sha256(l || h || r) FROM low JOIN sides s ON s.k = low.k AND s.lvl = low.lvl AND s.i = low.i),
+low_end AS (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY k, own ORDER BY lvl DESC) = 1),
+high(doc_id, own, source, lvl, i, proof, h) AS (SELECT doc_id, own, low_end.k, 1000, s.i, proof, h FROM low_end JOIN subroots s ON s.k = low_end.k
+    UNION ALL SELECT doc_id, own, source, high.lvl + 1, high.i // 3, proof || l || r, sha256(l || h || r) FROM high JOIN sides s ON s.k = '' AND s.lvl = high.lvl AND s.i = high.i),
+high_end AS (SELECT * FROM high QUALIFY row_number() OVER (PARTITION BY source, own ORDER BY lvl DESC) = 1)
+SELECT p.doc_id, p.leaf, s.node AS subroot, t.node AS root, sha256(h.proof) AS proof_sha256, h.h AS folded_root, h.h = t.node AS verified
+FROM placed p JOIN subroots s ON s.k = p.k JOIN high_end h ON h.source = p.k AND h.own = p.i CROSS JOIN (SELECT node FROM over_tree WHERE n = 1) t"""
+
+
+@query("op12_merkle_manifest", MANIFEST_SQL)
+def op12(spark, sf):
+    return merkle.manifest(table(spark, sf, "documents"), F.translate("text", "\n", ""), crc_part("doc_id", 2) == 0)
+
+
+PAGES_SQL = """WITH
+bodies AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+blocks AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda b:
+    trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '</?(?:b|br)>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''),
+        '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS b FROM bodies),
+texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+"""For pages whose article is an ``article`` element of paragraphs and a heading, as in the given tables."""
+
+
+@query("op13_html_extraction", PAGES_SQL)
+def op13(spark, sf):
+    return html_text.main_texts(table(spark, sf, "pages"), keep=["page_id", "url"])
