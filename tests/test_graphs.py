@@ -111,19 +111,37 @@ def test_removal_impact(g):
         assert got[name] == pytest.approx(plain.removal(arcs)), name
 
 
-def test_louvain(g):
-    part = per_node(community.louvain(g), "community")
-    scores = per_graph(community.modularity(g, community.louvain(g)), "modularity")
+@pytest.mark.parametrize("which,task_links", [("g", community.TASK_LINKS), ("g", 0), ("split", 8)])
+def test_louvain(which, task_links, request):
+    """In one task each, in rounds over all tasks, and in rounds until a level has become small."""
+    g = request.getfixturevalue(which)
+    found = community.louvain(g, task_links=task_links)
+    part = per_node(found, "community")
+    scores = per_graph(community.modularity(g, found), "modularity")
     for name, arcs in GRAPHS.items():
         assert set(part[name]) == set(plain.nodes_of(arcs))
+        assert all(c == min(v for v in part[name] if part[name][v] == c) for c in part[name].values())
         want = plain.modularity(arcs, part[name])
         assert scores[name][0] == (None if want is None else pytest.approx(want))
         if want is not None:
             assert want >= plain.modularity(arcs, {v: v for v in part[name]}) - 1e-12
+            assert want >= LOUVAIN_BEFORE.get(name, 0.0) - 1e-9 and not gains(arcs, part[name])
     assert len(set(part["bridge"].values())) == 2
     assert part["bridge"]["a"] == part["bridge"]["d"] == "a" and part["bridge"]["w"] == part["bridge"]["z"] == "w"
 
 
+# Modularity that an earlier version, which moved half of the nodes at a time and kept the best partition seen, found.
+LOUVAIN_BEFORE = {"random0": 0.302734375, "random1": 0.28121284185493467, "random2": 0.18698060941828254, "random3": 0.5245746691871456,
+                  "bridge": 0.48360655737704916, "chain": 0.22, "two_parts": 0.5}
+
+
+def gains(arcs, part):
+    """Merges of two communities that would add to modularity; none are left when the last level moved nothing."""
+    names, now = set(part.values()), plain.modularity(arcs, part)
+    return [(x, y) for x in names for y in names if x < y
+            and plain.modularity(arcs, {v: x if c == y else c for v, c in part.items()}) > now + 1e-9]
+
+
 def test_cycles_and_reciprocity(g):
     cycles = per_graph(components.cycle_edge_ratio(g, components.strong_components(g)), "cycle_edge_ratio")
     assert cycles["cycle"] == (1.0,) and cycles["triple"] == (0.0,) and cycles["loop_only"] == (1.0,)

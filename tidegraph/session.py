@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def get_session(app: str = "tidegraph", master: str | None = None, shuffle_partitions: int | None = None,
@@ -68,6 +68,13 @@ def settle_flagged(df: DataFrame, flag: str, label: str = "round") -> tuple[Data
     return out, (seen.get.get("rows") or 0) > 0
 
 
+def settle_counted(df: DataFrame, label: str = "round", **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``settle``, and in how many rows each condition of ``counted`` holds; the counts ride on the write."""
+    seen = Observation()
+    out = settle(df.observe(seen, *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counted.items()]), label)
+    return out, {name: seen.get.get(name) or 0 for name in counted}
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table that ``settle`` wrote; call it when all results are stored."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tidegraph/{spark.sparkContext.applicationId}")
