@@ -240,7 +240,7 @@ def test_pipeline(spark, tmp_path):
     ids = {name: [r.doc_id for r in out] for name, out in seen.items()}
     assert set(ids["language_id"]) == {r[0] for r in rows} - {950, 951, 953}
     assert sum(boiler in (r.text or "") for r in seen["line_dedup"]) == 1 and 952 not in ids["line_dedup"]
-    want = components([(r.doc_id, r.text) for r in seen["line_dedup"]])
+    want = components([(r.doc_id, r.text) for r in seen["line_dedup"]], 80, 5)
     assert sorted(ids["near_copies"]) == sorted(i for (i, _), (_, c) in want.items() if i == c)
     clean = [r.doc_id for r in seen["near_copies"] if not hits(r.text, [(1, passage)], 13)[3]]
     assert sorted(ids["decontamination"]) == sorted(clean) == sorted(ids["encoding"]) and len(clean) < len(ids["near_copies"])

@@ -105,11 +105,11 @@ def test_repeated_passages_of_nothing(spark):
     assert substrings.repeated_spans(frame(spark, [])).count() == 0
 
 
-def components(rows, percent=90):
+def components(rows, percent=90, shingle=3):
     sets, parent = {}, {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
-        sets[(i, t)] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        sets[(i, t)] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
     keys = list(sets)
     parent = {k: k for k in keys}
 
