@@ -2,8 +2,9 @@
 
 The corpus is coded once, block by block, as numbers into the block's own dictionary. Every word has its own class, assigned
 by exchange clustering over all training tokens, until the likelihood gains no more than ``TOLERANCE``. Words are spread
-over parts by hash; in a sweep every block sends each part the neighbour classes of its words, added up within the block,
-and the part adds up the blocks, moves its words and sends the classes back. Blocks lie in buckets, so they never
+over parts by hash. A sweep reads the blocks once: it counts the class bigrams and sends each part the neighbour classes of
+the words that may move, added up within the block; the part adds up the blocks, moves its words by the bigrams of the whole
+corpus, which every task sends ahead of its words, and sends the classes back. Blocks lie in buckets, so they never
 move, and no task holds the whole vocabulary. Counts of words are exact and stay in Spark: every block's dictionary is
 joined with the vocabulary and gets its counts back.
 """
@@ -40,11 +41,19 @@ DELTA = 0.1
 """Added to every word count, and the share of unseen words, as in the base model."""
 WIDE = CLASSES + 1
 
-BLOCK = "block long, ids array<long>, has_id array<boolean>, held array<boolean>, sizes array<int>, codes binary, words array<binary>, seen array<int>"
+Halves = tuple[DataFrame | None, DataFrame | None]
+"""Tables of the classes of words of even and of odd keys: ``block`` and ``classes``, one byte a word in the order of the keys."""
+
+BLOCK = "block long, ids array<long>, has_id array<boolean>, held array<boolean>, sizes array<int>, codes binary, keys binary, words array<binary>, seen array<int>"
 
 
 def coded(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per block of documents: ids, lengths, token codes, the block's words and their counts in training texts."""
+    """One row per block of documents: ids, lengths, token codes, the block's words, their keys and their counts in training texts."""
+    return _coded(docs, held_out, id_col, text)[0]
+
+
+def _coded(docs: DataFrame, held_out: Column, id_col: str, text: str) -> tuple[DataFrame, str]:
+    """``coded`` and the name of the table it is in."""
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -64,7 +73,7 @@ def coded(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
                 keep = np.repeat(~np.array(held, bool), [len(p) for p in parts])
                 seen = np.bincount(codes[keep], minlength=len(index))
                 row = {"block": (task << 32) + number, "ids": [i or 0 for i in ids], "has_id": [i is not None for i in ids], "held": held,
-                       "sizes": [len(p) for p in parts], "codes": pack(_planes(codes)), "words": [names[k] for k in order], "seen": seen.tolist()}
+                       "sizes": [len(p) for p in parts], "codes": pack(_planes(codes)), "keys": keys[order].tobytes(), "words": [names[k] for k in order], "seen": seen.tolist()}
                 number += 1
                 yield pa.RecordBatch.from_pylist([row], schema=BLOCK_ARROW)
 
@@ -72,16 +81,17 @@ def coded(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     return _in_buckets(rows.mapInArrow(run, BLOCK))
 
 
-def _in_buckets(blocks: DataFrame) -> DataFrame:
+def _in_buckets(blocks: DataFrame) -> tuple[DataFrame, str]:
     """``blocks`` written once, in buckets by number: joins by block shuffle the other side only."""
     spark, name = blocks.sparkSession, f"tidegraph_blocks_{uuid.uuid4().hex}"
     (blocks.write.bucketBy(width(spark), "block").format("parquet").option("compression", "zstd")
      .option("path", scratch_path(spark, "blocks")).saveAsTable(name))
-    return spark.table(name)
+    return spark.table(name), name
 
 
 BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("has_id", pa.list_(pa.bool_())), ("held", pa.list_(pa.bool_())),
-                         ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("seen", pa.list_(pa.int32()))])
+                         ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("keys", pa.binary()),
+                         ("words", pa.list_(pa.binary())), ("seen", pa.list_(pa.int32()))])
 
 
 class _Index(dict):
@@ -128,20 +138,24 @@ def _sequence(sizes: list[int], values: np.ndarray, end) -> tuple[np.ndarray, np
     return out, ends
 
 
-def _classed(blocks: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """``blocks`` with the packed classes of their words; null before the first sweep."""
-    if classes is None:
-        return blocks.withColumn("classes", F.lit(None).cast("binary"))
-    return blocks.join(classes.where("block >= 0").hint("shuffle_hash"), "block", "left")
+def _classed(blocks: DataFrame, classes: Halves) -> DataFrame:
+    """``blocks`` with the packed classes of their words of even and of odd keys; null before the first sweep."""
+    for name, half in zip(("even", "odd"), classes):
+        if half is None:
+            blocks = blocks.withColumn(name, F.lit(None).cast("binary"))
+        else:
+            blocks = blocks.join(half.select("block", F.col("classes").alias(name)).hint("shuffle_hash"), "block", "left")
+    return blocks
 
 
-def _own_classes(packed: bytes | None, words: list[bytes], start: np.ndarray) -> np.ndarray:
+def _own_classes(keys: np.ndarray, start: np.ndarray, *halves: bytes | None) -> np.ndarray:
     """Classes of a block's words; ``start`` has the keys of the words that are alone in their class at first."""
-    if packed is not None:
-        return np.frombuffer(packed, np.uint8)
-    keys, out = _buckets(words), np.full(len(words), CLASSES - 1, np.uint8)
+    out = np.full(len(keys), CLASSES - 1, np.uint8)
     for c, key in enumerate(start):
         out[keys == key] = c
+    for parity, packed in enumerate(halves):
+        if packed is not None:
+            out[keys % np.uint64(2) == parity] = np.frombuffer(packed, np.uint8)
     return out
 
 
@@ -151,42 +165,65 @@ def _training(held: list[bool], sizes: list[int], codes: bytes, end: int) -> np.
     return _sequence([n for n, h in zip(sizes, held) if not h], _codes(codes)[keep], end)[0].astype(np.int64)
 
 
-def _cells(at: np.ndarray, own: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each word has each class to its left and right: places in a table of 2 * WIDE columns, and counts."""
-    before, after, word = np.concatenate([[END], own[:-1]]), np.append(own[1:], END), at < words
-    places = np.concatenate([at[word] * (2 * WIDE) + before[word], at[word] * (2 * WIDE) + WIDE + after[word]])
-    if words * 2 * WIDE > 4 * len(places) + (1 << 20):
+def _cells(row: np.ndarray, own: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each row's word has each class to its left and right: places in a table of 2 * WIDE columns, and counts.
+
+    Tokens whose ``row`` is negative are only neighbours.
+    """
+    before, after, word = np.concatenate([[END], own[:-1]]), np.append(own[1:], END), np.flatnonzero(row >= 0)
+    places = row[word] * (2 * WIDE)
+    places = np.concatenate([places + before[word], places + WIDE + after[word]])
+    if rows * 2 * WIDE > 8 * len(places) + (1 << 20):
         return np.unique(places, return_counts=True)
     table = np.bincount(places, minlength=1)
     found = np.flatnonzero(table)
     return found, table[found]
 
 
-SENT = "part int, block long, keys binary, old binary, sizes binary, cells binary, n binary"
-SENT_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "old", "sizes", "cells", "n"))])
+SENT = "dest int, part int, block long, parity int, keys binary, old binary, sizes binary, cells binary, n binary"
+SENT_ARROW = pa.schema([("dest", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("parity", pa.int32()),
+                        *((c, pa.binary()) for c in ("keys", "old", "sizes", "cells", "n"))])
+
 
+def _neighbours(classed: DataFrame, start: np.ndarray, tasks: int, turn: int) -> DataFrame:
+    """Per block and part of the vocabulary: the movable words' keys and classes, and their neighbours' classes in the block, counted.
 
-def _neighbours(classed: DataFrame, start: np.ndarray, parts: int) -> DataFrame:
-    """Per block and part of the vocabulary: the words' keys and classes, and their neighbours' classes in the block, counted."""
+    Part -1 has the class bigrams of all that a task has read, once for each of the ``tasks`` that move words.
+    """
     shared = classed.sparkSession.sparkContext.broadcast(start)
+    parts = tasks * PARTS
 
     def count(batches):
-        for block, held, sizes, codes, words, packed in _rows(batches, "block", "held", "sizes", "codes", "words", "classes"):
-            if not words:
-                continue
-            old, keys = _own_classes(packed, words, shared.value), _buckets(words)
-            at = _training(held, sizes, codes, len(words))
-            places, n = _cells(at, np.append(old, np.uint8(END))[at].astype(np.int64), len(words))
-            each = np.bincount(places // (2 * WIDE), minlength=len(words)).astype(np.uint8)
-            cells, n = (places % (2 * WIDE)).astype(np.uint8), n.astype("<u4")
-            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            bounds, upto = np.append(first, len(words)), np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-            rows = [(int(part[lo]), block, keys[lo:hi].tobytes(), old[lo:hi].tobytes(), each[lo:hi].tobytes(),
-                     cells[upto[lo] : upto[hi]].tobytes(), n[upto[lo] : upto[hi]].tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SENT_ARROW)], schema=SENT_ARROW)
-
-    return classed.select("block", "held", "sizes", "codes", "words", "classes").mapInArrow(count, SENT)
+        pairs = np.zeros(WIDE * WIDE, np.int64)
+        for block, held, sizes, codes, packed, even, odd in _rows(batches, "block", "held", "sizes", "codes", "keys", "even", "odd"):
+            keys = np.frombuffer(packed, np.uint64)
+            old = _own_classes(keys, shared.value, even, odd)
+            at = _training(held, sizes, codes, len(keys))
+            own = np.append(old, np.uint8(END))[at].astype(np.int64)
+            if len(own):
+                pairs += np.bincount(np.concatenate([[END], own[:-1]]) * WIDE + own, minlength=WIDE * WIDE)
+            # In the first sweep all may move: nearly all start in one class.
+            for parity in (0, 1) if turn == 0 else (turn % 2,):
+                mine = np.flatnonzero(keys % np.uint64(2) == parity)
+                if not len(mine):
+                    continue
+                number = np.full(len(keys) + 1, -1, np.int64)
+                number[mine] = np.arange(len(mine))
+                places, n = _cells(number[at], own, len(mine))
+                each = np.bincount(places // (2 * WIDE), minlength=len(mine)).astype(np.uint8)
+                cells, n = (places % (2 * WIDE)).astype(np.uint8), n.astype("<u4")
+                own_keys, own_old = keys[mine], old[mine]
+                part = ((own_keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                bounds, upto = np.append(first, len(mine)), np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+                rows = [(int(part[lo]) // PARTS, int(part[lo]), block, parity, own_keys[lo:hi].tobytes(), own_old[lo:hi].tobytes(), each[lo:hi].tobytes(),
+                         cells[upto[lo] : upto[hi]].tobytes(), n[upto[lo] : upto[hi]].tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SENT_ARROW)], schema=SENT_ARROW)
+        if pairs.any():
+            whole = [(dest, -1, 0, 0, b"", b"", b"", pairs.tobytes(), b"") for dest in range(tasks)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*whole), SENT_ARROW)], schema=SENT_ARROW)
+
+    return classed.select("block", "held", "sizes", "codes", "keys", "even", "odd").mapInArrow(count, SENT)
 
 
 def transitions(pairs: np.ndarray) -> np.ndarray:
@@ -210,70 +247,90 @@ def likelihood(pairs: np.ndarray) -> float:
     return total(pairs) - total(pairs.sum(axis=0)) - total(pairs.sum(axis=1))
 
 
-def _moved(sent: DataFrame, pairs: np.ndarray, turn: int) -> DataFrame:
-    """``block`` and the new ``classes`` of its words; block -1 has the number of training words in each class."""
-    spark = sent.sparkSession
-    shared = spark.sparkContext.broadcast(pairs)
+PAIRS, USED = -2, -1
+"""Numbers of blocks whose ``classes`` are the class bigrams, and by how many training words each class has changed."""
+
+
+def _moved_part(rows: list, pairs: np.ndarray) -> pa.RecordBatch:
+    """New classes of the words of one part, for every block, and the change in the number of training words per class."""
+    keys, old, sizes, cells, n = (np.frombuffer(b"".join(r[k] for r in rows), kind)
+                                  for k, kind in ((4, np.uint64), (5, np.uint8), (6, np.uint8), (7, np.uint8), (8, "<u4")))
+    words, first, where = np.unique(keys, return_index=True, return_inverse=True)
+    of = np.repeat(where, sizes)
+    order = np.argsort(of, kind="stable")
+    of, cells, n = of[order], cells[order], n[order]
+    classes, used = old[first], np.zeros(CLASSES, np.int64)
+    for lo in range(0, len(words), WORDS_AT_ONCE):
+        hi = min(lo + WORDS_AT_ONCE, len(words))
+        a, b = np.searchsorted(of, [lo, hi])
+        counts = np.bincount((of[a:b] - lo) * (2 * WIDE) + cells[a:b], n[a:b], (hi - lo) * 2 * WIDE).reshape(-1, 2 * WIDE)
+        before, trained = classes[lo:hi].copy(), counts[:, :WIDE].sum(axis=1) > 0
+        classes[lo:hi] = exchange(counts, before, pairs, np.ones(hi - lo, bool))
+        used += np.bincount(classes[lo:hi][trained], minlength=CLASSES) - np.bincount(before[trained], minlength=CLASSES)
+    back, at, out = classes[where].tobytes(), 0, [(USED, rows[0][1], 0, used.tobytes())]
+    for r in rows:
+        out.append((r[2], r[1], r[3], back[at : at + len(r[5])]))
+        at += len(r[5])
+    return _sent_back(out)
+
+
+def _sent_back(rows: list) -> pa.RecordBatch:
+    block, part, parity, packed = zip(*rows)
+    return pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int32()), "parity": pa.array(parity, pa.int32()),
+                                       "classes": pa.array(packed, pa.binary())})
+
+
+def _sweep(classed: DataFrame, start: np.ndarray, turn: int) -> DataFrame:
+    """``block``, ``parity`` and the new ``classes`` of the block's words of such keys, with the rows PAIRS and USED."""
+    tasks = width(classed.sparkSession)
 
     def move(batches):
-        rows = list(_rows(batches, *SENT_ARROW.names))
-        if not rows:
-            return
-        keys, old, sizes, cells, n = (np.frombuffer(b"".join(r[k] for r in rows), kind)
-                                      for k, kind in ((2, np.uint64), (3, np.uint8), (4, np.uint8), (5, np.uint8), (6, "<u4")))
-        words, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        of = np.repeat(where, sizes)
-        order = np.argsort(of, kind="stable")
-        of, cells, n = of[order], cells[order], n[order]
-        classes, used = old[first], np.zeros(CLASSES, np.int64)
-        for lo in range(0, len(words), WORDS_AT_ONCE):
-            hi = min(lo + WORDS_AT_ONCE, len(words))
-            a, b = np.searchsorted(of, [lo, hi])
-            counts = np.bincount((of[a:b] - lo) * (2 * WIDE) + cells[a:b], n[a:b], (hi - lo) * 2 * WIDE).reshape(-1, 2 * WIDE)
-            # In the first sweep all may move: nearly all start in one class.
-            movable = np.ones(hi - lo, bool) if turn == 0 else words[lo:hi] % np.uint64(2) == np.uint64(turn % 2)
-            classes[lo:hi] = exchange(counts, classes[lo:hi], shared.value, movable)
-            used += np.bincount(classes[lo:hi][counts[:, :WIDE].sum(axis=1) > 0], minlength=CLASSES)
-        back, at, out = classes[where].tobytes(), 0, []
-        for r in rows:
-            out.append((r[1], r[0], back[at : at + len(r[3])]))
-            at += len(r[3])
-        out.append((-1, 0, used.tobytes()))
-        block, part, packed = zip(*out)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int64()), "part": pa.array(part, pa.int32()), "classes": pa.array(packed, pa.binary())})
+        dest, part, pairs, rows = None, None, None, []
+        for row in _rows(batches, *SENT_ARROW.names):
+            if row[1] != part and rows:
+                yield _moved_part(rows, pairs)
+                rows = []
+            if row[0] != dest:
+                dest, pairs = row[0], np.zeros((WIDE, WIDE), np.int64)
+            if row[1] == -1:
+                pairs += np.frombuffer(row[7], np.int64).reshape(WIDE, WIDE)
+            else:
+                if part == -1:
+                    yield _sent_back([(PAIRS, dest, 0, pairs.tobytes())])
+                rows.append(row)
+            part = row[1]
+        if rows:
+            yield _moved_part(rows, pairs)
+        elif part == -1:
+            yield _sent_back([(PAIRS, dest, 0, pairs.tobytes())])
 
     def gather(rows):
         import pandas as pd
 
-        block, packed = rows["block"].iloc[0], rows.sort_values("part")["classes"]
-        whole = b"".join(packed) if block >= 0 else sum(np.frombuffer(x, np.int64) for x in packed).tobytes()
-        return pd.DataFrame({"block": [block], "classes": [whole]})
+        block, packed = rows["block"].iloc[0], list(rows.sort_values("part")["classes"])
+        if block == USED:
+            whole = sum(np.frombuffer(x, np.int64) for x in packed).tobytes()
+        else:
+            whole = packed[0] if block == PAIRS else b"".join(packed)
+        return pd.DataFrame({"block": [block], "parity": [rows["parity"].iloc[0]], "classes": [whole]})
 
-    back = sent.repartition(width(spark), "part").mapInArrow(move, "block long, part int, classes binary")
-    return stored(back.groupBy("block").applyInPandas(gather, "block long, classes binary"), "classes")
+    # Parts come one after the other, the bigrams ahead of them, so a task holds one part at a time.
+    sent = _neighbours(classed, start, tasks, turn).repartition(tasks, "dest").sortWithinPartitions("dest", "part")
+    back = sent.mapInArrow(move, "block long, part int, parity int, classes binary")
+    return stored(back.groupBy("block", "parity").applyInPandas(gather, "block long, parity int, classes binary"), "classes")
 
 
-def _class_bigrams(classed: DataFrame, start: np.ndarray) -> np.ndarray:
-    """Class bigrams of the training texts."""
-    shared = classed.sparkSession.sparkContext.broadcast(start)
+def _counts_in(sweep: DataFrame, block: int, size: int) -> np.ndarray:
+    row = sweep.where(F.col("block") == block).first()
+    return np.frombuffer(row["classes"], np.int64) if row else np.zeros(size, np.int64)
 
-    def count(batches):
-        pairs = np.zeros(WIDE * WIDE, np.int64)
-        for held, sizes, codes, words, packed in _rows(batches, "held", "sizes", "codes", "words", "classes"):
-            table = np.append(_own_classes(packed, words, shared.value), np.uint8(END))
-            own = table[_training(held, sizes, codes, len(words))].astype(np.int64)
-            if len(own):
-                pairs += np.bincount(np.concatenate([[END], own[:-1]]) * WIDE + own, minlength=WIDE * WIDE)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(np.flatnonzero(pairs), pa.int32()), "n": pa.array(pairs[pairs > 0], pa.int64())})
 
-    found = classed.select("held", "sizes", "codes", "words", "classes").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = np.zeros(WIDE * WIDE, np.int64)
-    for r in found.collect():  # at most WIDE * WIDE rows
-        pairs[r["pair"]] = r["n"]
-    return pairs.reshape(WIDE, WIDE)
+def _class_bigrams(sweep: DataFrame) -> np.ndarray:
+    """Class bigrams of the training texts under the classes that the sweep has started from."""
+    return _counts_in(sweep, PAIRS, WIDE * WIDE).reshape(WIDE, WIDE)
 
 
-def cluster(blocks: DataFrame, vocab: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame | None, np.ndarray, np.ndarray, np.ndarray]:
+def cluster(blocks: DataFrame, vocab: DataFrame, tolerance: float = TOLERANCE) -> tuple[Halves, np.ndarray, np.ndarray, np.ndarray]:
     """Classes of every block's words, the class bigrams under them, training words per class, and the keys it starts with.
 
     It starts with each of the most frequent words (one fewer than classes) alone and all others together (no table of
@@ -284,18 +341,21 @@ def cluster(blocks: DataFrame, vocab: DataFrame, tolerance: float = TOLERANCE) -
     used = np.zeros(CLASSES, np.int64)
     used[: len(top)] = 1
     used[CLASSES - 1] = vocab.where(F.col("n") > 0).count() - len(top)
-    classes, parts, turn, flat = None, PARTS * width(blocks.sparkSession), 0, 0
-    pairs = _class_bigrams(_classed(blocks, None), start)
-    best, most = (None, pairs, used), likelihood(pairs)
-    while flat < 2:
-        classes = _moved(_neighbours(_classed(blocks, classes), start, parts), pairs, turn)
-        pairs, turn = _class_bigrams(_classed(blocks, classes), start), turn + 1
+    classes, turn, flat, best, most = (None, None), 0, 0, None, 0.0
+    while True:
+        sweep = _sweep(_classed(blocks, classes), start, turn)
+        pairs = _class_bigrams(sweep)
         now = likelihood(pairs)
-        flat = 0 if now - most > tolerance * pairs.sum() else flat + 1
-        if now > most:
-            row = classes.where("block = -1").first()
-            best, most = (classes, pairs, np.frombuffer(row["classes"], np.int64)), now
-    return *best, start
+        if best is not None:
+            flat = 0 if now - most > tolerance * pairs.sum() else flat + 1
+        if best is None or now > most:
+            best, most = (classes, pairs, used), now
+        if flat == 2:
+            return *best, start
+        used = used + _counts_in(sweep, USED, CLASSES)
+        moved = [sweep.where((F.col("block") >= 0) & (F.col("parity") == parity)) for parity in (0, 1)]
+        classes = tuple(moved[p] if turn == 0 or turn % 2 == p else classes[p] for p in (0, 1))
+        turn += 1
 
 
 class WordClasses:
@@ -312,10 +372,11 @@ class WordClasses:
 
 def _word_classes(classed: DataFrame, start: np.ndarray) -> WordClasses:
     def run(batches):
-        for words, packed in _rows(batches, "words", "classes"):
-            yield pa.RecordBatch.from_pydict({"key": pa.array(_buckets(words).view(np.int64)), "class": pa.array(_own_classes(packed, words, start).astype(np.int32))})
+        for packed, even, odd in _rows(batches, "keys", "even", "odd"):
+            keys = np.frombuffer(packed, np.uint64)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "class": pa.array(_own_classes(keys, start, even, odd).astype(np.int32))})
 
-    return WordClasses(classed.select("words", "classes").mapInArrow(run, "key long, class int").distinct())
+    return WordClasses(classed.select("keys", "even", "odd").mapInArrow(run, "key long, class int").distinct())
 
 
 class Model(NamedTuple):
@@ -350,7 +411,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str
     training. Null texts are empty and consist of their end. A null ``held_out`` is training. Repeated rows count and
     are scored as often as they occur. Without training texts every probability is the smoothing's.
     """
-    blocks = coded(docs, F.coalesce(held_out, F.lit(False)), id_col, text)
+    blocks, table = _coded(docs, F.coalesce(held_out, F.lit(False)), id_col, text)
     vocab = vocabulary(blocks)
     model = fit(blocks, vocab, tolerance)
     entries = blocks.select("block", F.posexplode("words").alias("at", "word"))
@@ -370,13 +431,14 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str
         m = shared.value
         step = transitions(m.pairs) / math.log(10)
         empty = np.zeros(0, np.int64)
-        for ids, has_id, held, sizes, packed, words, own_classes, blob in _rows(
-                batches, "ids", "has_id", "held", "sizes", "codes", "words", "classes", "counts"):
+        for ids, has_id, held, sizes, packed, keys, even, odd, blob in _rows(
+                batches, "ids", "has_id", "held", "sizes", "codes", "keys", "even", "odd", "counts"):
+            keys = np.frombuffer(keys, np.uint64)
             codes = _codes(packed)
             n = np.frombuffer(blob, np.int64)[codes] if blob else empty
-            at, ends = _sequence(sizes, codes, len(words))
+            at, ends = _sequence(sizes, codes, len(keys))
             n, _ = _sequence(sizes, n, m.texts)
-            own = np.append(_own_classes(own_classes, words, m.start), np.uint8(END))[at]
+            own = np.append(_own_classes(keys, m.start, even, odd), np.uint8(END))[at]
             before = np.concatenate([[END], own[:-1]])
             starts = np.concatenate([[0], ends[:-1] + 1])
             base = np.log10((n + DELTA) / (m.tokens + DELTA * (m.distinct + 1)))
@@ -388,5 +450,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str
                 "train_tokens": pa.array(np.full(len(ids), m.tokens, np.int64)), "base_score": pa.array(total(base)),
                 "score": pa.array(total(step[before, own] + emit))})
 
-    return (model.classed.select("block", "ids", "has_id", "held", "sizes", "codes", "words", "classes")
-            .join(counts.hint("shuffle_hash"), "block", "left").drop("block").mapInArrow(score, SCORES))
+    out = stored(model.classed.select("block", "ids", "has_id", "held", "sizes", "codes", "keys", "even", "odd")
+                 .join(counts.hint("shuffle_hash"), "block", "left").drop("block").mapInArrow(score, SCORES), "scores")
+    docs.sparkSession.sql(f"DROP TABLE {table}")
+    return out
