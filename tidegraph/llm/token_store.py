@@ -57,7 +57,7 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer, self.words, self.tails = Tokenizer.from_str(tokenizer_json), {}, {}
         self.model = self.tokenizer.model
-        probes = ["Straße,", "École.", "the", "The;", "ñandú!?", "Übergrößen).", "a", "XYZ:", "don,", "s,", "Œuvre.", "İz."]
+        probes = ["Straße,", "École.", "the", "The;", "ñandú!?", "Übergrößen).", "a", "XYZ:", "don,", "s,", "Œuvre.", "İz.", "US$", "AT&", "é%%%", "les&&&", "C#,"]
         self.by_word = all(self._split(x) in (None, self._whole(x)) for x in probes)
 
     def _whole(self, run: str) -> bytes:
@@ -72,19 +72,27 @@ class ChunkIds(dict):
         tail, word = run[len(word) :], word.lower()
         if tail and tail not in self.tails:
             self.tails[tail] = self._whole(tail)
+        ids = self._word(word, plain)
+        return ids + self.tails[tail] if tail else ids
+
+    def _word(self, word: str, plain: bool) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             if len(self.words) >= 2 * CACHE_WORDS:
                 self.words.clear()
             spelled = word if plain else word.encode().decode("latin-1").translate(BYTE_LEVEL)
             ids = self.words[word] = _packed([t.id for t in self.model.tokenize(spelled)])
-        return ids + self.tails[tail] if tail else ids
+        return ids
 
     def __missing__(self, run: bytes) -> bytes:
-        text = run.decode()
-        ids = self._split(text) if self.by_word else None
-        if ids is None:
-            ids = self._whole(text)
+        if self.by_word and run.isalpha():
+            # Of bytes, only ASCII letters are letters.
+            ids = self._word(run.lower().decode("ascii"), True)
+        else:
+            text = run.decode()
+            ids = self._split(text) if self.by_word else None
+            if ids is None:
+                ids = self._whole(text)
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[run] = ids
@@ -98,7 +106,7 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-TAIL = ".,;:!?)]}\"-/|*"
+TAIL = ".,;:!?)]}\"-/|*&%$#"
 LATIN = "\u024f"
 # How the byte-level splitter spells bytes: printable ones as themselves, the others from U+0100 on, in order.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
