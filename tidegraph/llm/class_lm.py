@@ -30,10 +30,8 @@ CLASSES = 16
 END = CLASSES
 TOLERANCE = 1e-3
 """Nats per training token; the exchange ends when two sweeps in a row, a turn of each half of the words, gain no more."""
-PARTS = 4
-"""Parts of the vocabulary for each shuffle partition."""
-WORDS_AT_ONCE = 50_000
-"""Words of a part whose counts are laid out at the same time."""
+PART_WORDS = 50_000
+"""Words in a part of the vocabulary, about; their counts are laid out at the same time. Parts are as many as the words need."""
 BLOCK_DOCS = 4000
 ALPHA = 0.5
 """Added to every class transition."""
@@ -185,13 +183,12 @@ SENT_ARROW = pa.schema([("dest", pa.int32()), ("part", pa.int32()), ("block", pa
                         *((c, pa.binary()) for c in ("keys", "old", "sizes", "cells", "n"))])
 
 
-def _neighbours(classed: DataFrame, start: np.ndarray, tasks: int, turn: int) -> DataFrame:
+def _neighbours(classed: DataFrame, start: np.ndarray, tasks: int, parts: int, turn: int) -> DataFrame:
     """Per block and part of the vocabulary: the movable words' keys and classes, and their neighbours' classes in the block, counted.
 
     Part -1 has the class bigrams of all that a task has read, once for each of the ``tasks`` that move words.
     """
     shared = classed.sparkSession.sparkContext.broadcast(start)
-    parts = tasks * PARTS
 
     def count(batches):
         pairs = np.zeros(WIDE * WIDE, np.int64)
@@ -216,7 +213,7 @@ def _neighbours(classed: DataFrame, start: np.ndarray, tasks: int, turn: int) ->
                 part = ((own_keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 first = np.flatnonzero(np.diff(part, prepend=-1))
                 bounds, upto = np.append(first, len(mine)), np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-                rows = [(int(part[lo]) // PARTS, int(part[lo]), block, parity, own_keys[lo:hi].tobytes(), own_old[lo:hi].tobytes(), each[lo:hi].tobytes(),
+                rows = [(int(part[lo]) * tasks // parts, int(part[lo]), block, parity, own_keys[lo:hi].tobytes(), own_old[lo:hi].tobytes(), each[lo:hi].tobytes(),
                          cells[upto[lo] : upto[hi]].tobytes(), n[upto[lo] : upto[hi]].tobytes()) for lo, hi in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), SENT_ARROW)], schema=SENT_ARROW)
         if pairs.any():
@@ -260,8 +257,8 @@ def _moved_part(rows: list, pairs: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(of, kind="stable")
     of, cells, n = of[order], cells[order], n[order]
     classes, used = old[first], np.zeros(CLASSES, np.int64)
-    for lo in range(0, len(words), WORDS_AT_ONCE):
-        hi = min(lo + WORDS_AT_ONCE, len(words))
+    for lo in range(0, len(words), PART_WORDS):
+        hi = min(lo + PART_WORDS, len(words))
         a, b = np.searchsorted(of, [lo, hi])
         counts = np.bincount((of[a:b] - lo) * (2 * WIDE) + cells[a:b], n[a:b], (hi - lo) * 2 * WIDE).reshape(-1, 2 * WIDE)
         before, trained = classes[lo:hi].copy(), counts[:, :WIDE].sum(axis=1) > 0
@@ -280,9 +277,9 @@ def _sent_back(rows: list) -> pa.RecordBatch:
                                        "classes": pa.array(packed, pa.binary())})
 
 
-def _sweep(classed: DataFrame, start: np.ndarray, turn: int) -> DataFrame:
+def _sweep(classed: DataFrame, start: np.ndarray, parts: int, turn: int) -> DataFrame:
     """``block``, ``parity`` and the new ``classes`` of the block's words of such keys, with the rows PAIRS and USED."""
-    tasks = width(classed.sparkSession)
+    tasks = min(width(classed.sparkSession), parts)
 
     def move(batches):
         dest, part, pairs, rows = None, None, None, []
@@ -315,7 +312,7 @@ def _sweep(classed: DataFrame, start: np.ndarray, turn: int) -> DataFrame:
         return pd.DataFrame({"block": [block], "parity": [rows["parity"].iloc[0]], "classes": [whole]})
 
     # Parts come one after the other, the bigrams ahead of them, so a task holds one part at a time.
-    sent = _neighbours(classed, start, tasks, turn).repartition(tasks, "dest").sortWithinPartitions("dest", "part")
+    sent = _neighbours(classed, start, tasks, parts, turn).repartition(tasks, "dest").sortWithinPartitions("dest", "part")
     back = sent.mapInArrow(move, "block long, part int, parity int, classes binary")
     return stored(back.groupBy("block", "parity").applyInPandas(gather, "block long, parity int, classes binary"), "classes")
 
@@ -341,9 +338,10 @@ def cluster(blocks: DataFrame, vocab: DataFrame, tolerance: float = TOLERANCE) -
     used = np.zeros(CLASSES, np.int64)
     used[: len(top)] = 1
     used[CLASSES - 1] = vocab.where(F.col("n") > 0).count() - len(top)
+    parts = max(1, -(-vocab.count() // PART_WORDS))
     classes, turn, flat, best, most = (None, None), 0, 0, None, 0.0
     while True:
-        sweep = _sweep(_classed(blocks, classes), start, turn)
+        sweep = _sweep(_classed(blocks, classes), start, parts, turn)
         pairs = _class_bigrams(sweep)
         now = likelihood(pairs)
         if best is not None:
