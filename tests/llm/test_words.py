@@ -217,3 +217,16 @@ def test_sites_counted_exactly_near_the_threshold(spark):
     assert len(sites) == 6 and [s for s in sites if s] == [10, 11, 19, 20]
 
 
+
+
+def test_passes_over_many_blocks_of_windows(spark, capsys):
+    """Whatever the number of blocks, the plan that is left has one search, and an item without an id counts for hits."""
+    docs = frame(spark, prose(21, 60) + ODD)
+    items = spark.createDataFrame([(str(k) if k else None, t) for k, (_, t) in enumerate(prose(21, 8))], "item_id string, text string")
+    once = decontaminate.contamination(docs, items, keep=["doc_id"])
+    many = decontaminate.contamination(docs, items, keep=["doc_id"], block_windows=40)
+    many.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    key = lambda r: str(tuple(r))
+    assert sorted(once.collect(), key=key) == sorted(many.collect(), key=key)
+    assert not once.where("n_hit > 0").isEmpty()

@@ -6,10 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import settle
-from .common import alnum_words, flat, over_texts, structs
+from .common import alnum_words, flat, over_texts, structs, stored
 
 BLOCK_WINDOWS = 200_000
 """Windows searched for in one pass, which bounds what is broadcast; more windows mean more passes, not fewer windows."""
@@ -87,9 +88,8 @@ def covered(spans: list[int]) -> int:
     return total
 
 
-def _pass(df: DataFrame, patterns: list[tuple[list[bytes], list[str]]], last: bool, share: int) -> DataFrame:
+def _pass(df: DataFrame, shared: Broadcast, last: bool, share: int) -> DataFrame:
     """Search every text for one block of windows and add the finds to those of the passes before."""
-    shared = df.sparkSession.sparkContext.broadcast(patterns)
     row = df.schema["row"]
     schema = T.StructType([row, T.StructField("result", VERDICT)] if last else [row, df.schema["text"], T.StructField("found", FOUND)])
 
@@ -132,7 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     A word inside any occurrence of a window is hit; ``items`` are the ids (as text, sorted) of the items whose
     windows occur. A document is contaminated with a hit and ``share * n_hit >= n_words``. Null or empty texts have
     no words and are clean; an empty benchmark hits nothing; repeated rows are judged one by one; columns of ``docs``
-    with the names of results are replaced. Documents are never moved: each block of windows is one narrow pass.
+    with the names of results are replaced. An item without an id makes hits as the others do and is in no list. Documents are
+    never moved: each block of windows is one narrow pass, and of several passes all but the last write the texts with their finds.
     """
     windows = settle(windows_of(benchmark, item_id, item_text, window), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
@@ -140,7 +141,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     df = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).cast("binary").alias("text"))
     for k in range(blocks):
         rows = windows.where(block == k).collect()
-        df = _pass(df, [(bytes(r["words"]).split(b" "), list(r["items"])) for r in rows], k == blocks - 1, share)
+        shared = docs.sparkSession.sparkContext.broadcast([(bytes(r["words"]).split(b" "), list(r["items"])) for r in rows])
+        df = _pass(df, shared, k == blocks - 1, share)
+        if k < blocks - 1:
+            # Each pass is a job of its own, so a task has the engines of one block and the driver one block of windows.
+            df = stored(df, "pass")
+            shared.destroy()
     return flat(df)
 
 
