@@ -207,13 +207,16 @@ def g_rich_club_density(spark, sf):
 LETTERED = f"{NODES}, {PAIRS}, parted AS (SELECT graph_id, month_start, node_id, right(node_id, 1) AS community FROM nodes)"
 
 
-@query("g_modularity", with_edges("""SELECT m.graph_id, m.month_start, round(q, 6) + 0.0 AS modularity FROM (SELECT DISTINCT graph_id, month_start FROM nodes) m LEFT JOIN
-  (SELECT graph_id, month_start, sum(inside / m - pow(ends / (2 * m), 2)) AS q FROM grp JOIN total USING (graph_id, month_start) GROUP BY 1, 2) s
-  ON s.graph_id = m.graph_id AND s.month_start = m.month_start""", extra=f"""{LETTERED},
-  side AS (SELECT graph_id, month_start, right(a, 1) AS community, CASE WHEN right(a, 1) = right(b, 1) THEN weight ELSE 0 END AS inside, weight AS ends FROM pairs
+SCORED = f"""{LETTERED},
+  part_side AS (SELECT graph_id, month_start, right(a, 1) AS community, CASE WHEN right(a, 1) = right(b, 1) THEN weight ELSE 0 END AS inside, weight AS ends FROM pairs
     UNION ALL SELECT graph_id, month_start, right(b, 1), 0, weight FROM pairs),
-  grp AS (SELECT graph_id, month_start, community, CAST(sum(inside) AS DOUBLE) AS inside, CAST(sum(ends) AS DOUBLE) AS ends FROM side GROUP BY 1, 2, 3),
-  total AS (SELECT graph_id, month_start, sum(ends) / 2 AS m FROM grp GROUP BY 1, 2)"""))
+  part_sum AS (SELECT graph_id, month_start, community, CAST(sum(inside) AS DOUBLE) AS inside, CAST(sum(ends) AS DOUBLE) AS ends FROM part_side GROUP BY 1, 2, 3),
+  part_total AS (SELECT graph_id, month_start, sum(ends) / 2 AS m FROM part_sum GROUP BY 1, 2)"""
+
+
+@query("g_modularity", with_edges("""SELECT m.graph_id, m.month_start, round(q, 6) + 0.0 AS modularity FROM (SELECT DISTINCT graph_id, month_start FROM nodes) m LEFT JOIN
+  (SELECT graph_id, month_start, sum(inside / m - pow(ends / (2 * m), 2)) AS q FROM part_sum JOIN part_total USING (graph_id, month_start) GROUP BY 1, 2) s
+  ON s.graph_id = m.graph_id AND s.month_start = m.month_start""", extra=SCORED))
 def g_modularity(spark, sf):
     g = graphs(spark, sf)
     return rounded(community.modularity(g, lettered(g.nodes)))
@@ -578,7 +581,8 @@ def m_node_table(spark, sf):
 NETWORK = f"""SELECT s.graph_id, s.month_start, s.graph_id AS table_name, strftime(s.month_start, '%Y-%m') || '_' || s.graph_id AS row_id, s.nodes, s.edges,
   round(CASE WHEN s.nodes > 1 THEN CAST(s.edges AS DOUBLE) / (s.nodes * (s.nodes - 1)) ELSE 0 END, 6) AS density, c.connected_components,
   round(t.transitivity, 6) AS transitivity, CASE WHEN a.v THEN round(a.r, 6) + 0.0 END AS assortativity, round(x.network_avg_toxicity, 6) AS network_avg_toxicity,
-  round(f.median_node_toxicity, 6) AS median_node_toxicity, k.max_core_number, round(k.avg_core_number, 6) AS avg_core_number,
+  round(f.median_node_toxicity, 6) AS median_node_toxicity, round(f.max_node_toxicity, 6) AS max_node_toxicity, round(f.min_node_toxicity, 6) AS min_node_toxicity,
+  round(q.modularity, 6) + 0.0 AS modularity, p.modularity_classes, k.max_core_number, round(k.avg_core_number, 6) AS avg_core_number,
   round(r.rich_club_coefficient, 6) AS rich_club_coefficient, round(l.average_clustering, 6) AS average_clustering
   FROM size s LEFT JOIN (SELECT graph_id, month_start, count(DISTINCT scc) AS connected_components FROM strong GROUP BY 1, 2) c {SAME}
   LEFT JOIN transit t {SAME}
@@ -586,7 +590,11 @@ NETWORK = f"""SELECT s.graph_id, s.month_start, s.graph_id AS table_name, strfti
     JOIN degrees o ON o.graph_id = e.graph_id AND o.month_start = e.month_start AND o.node_id = e.source
     JOIN degrees i ON i.graph_id = e.graph_id AND i.month_start = e.month_start AND i.node_id = e.target GROUP BY 1, 2) a {SAME}
   LEFT JOIN (SELECT graph_id, month_start, sum(sum_toxicity) / sum(weight) AS network_avg_toxicity FROM edges GROUP BY 1, 2) x {SAME}
-  LEFT JOIN (SELECT graph_id, month_start, median(toxicity_sent_avg) AS median_node_toxicity FROM flow GROUP BY 1, 2) f {SAME}
+  LEFT JOIN (SELECT graph_id, month_start, median(toxicity_sent_avg) AS median_node_toxicity, max(toxicity_sent_avg) AS max_node_toxicity,
+    min(toxicity_sent_avg) AS min_node_toxicity FROM flow GROUP BY 1, 2) f {SAME}
+  LEFT JOIN (SELECT graph_id, month_start, sum(inside) / any_value(m) - sum(ends * ends) / (4 * any_value(m) * any_value(m)) AS modularity
+    FROM part_sum JOIN part_total {SAME} GROUP BY 1, 2) q {SAME}
+  LEFT JOIN (SELECT graph_id, month_start, count(DISTINCT community) AS modularity_classes FROM parted GROUP BY 1, 2) p {SAME}
   LEFT JOIN (SELECT graph_id, month_start, max(core_number) AS max_core_number, avg(core_number) AS avg_core_number FROM cores GROUP BY 1, 2) k {SAME}
   LEFT JOIN rich r {SAME}
   LEFT JOIN (SELECT graph_id, month_start, avg(clustering) AS average_clustering FROM clustered GROUP BY 1, 2) l {SAME}"""
@@ -604,12 +612,11 @@ def _once(*blocks: str) -> str:
 
 
 @query("m_network_metrics", with_edges(NETWORK, extra=_once(
-    SIZES, STRONG, TRANSITIVITY, DEGREES, FLOW, CORES, RICH.replace("neighbour", "rich_neighbour"), TRIANGLES)))
+    SIZES, STRONG, TRANSITIVITY, DEGREES, FLOW, CORES, RICH.replace("neighbour", "rich_neighbour"), TRIANGLES, SCORED)))
 def m_network_metrics(spark, sf):
-    """All but the two Louvain columns, which have no fixed value; ``m_network_table`` has all."""
+    """All columns, under a partition that SQL can state; ``m_network_table`` has those of Louvain's."""
     with graphs(spark, sf) as g:
-        table = tables.network_metrics(g, partition=lettered(g.nodes))
-        return rounded(settle(table.drop("modularity", "modularity_classes", "max_node_toxicity", "min_node_toxicity")))
+        return rounded(settle(tables.network_metrics(g, partition=lettered(g.nodes))))
 
 
 @query("m_network_table")
