@@ -169,6 +169,45 @@ def test_pairs_share_a_block():
                 assert len(np.intersect1d(jaccard.block_keys(a), jaccard.block_keys(b)))
 
 
+def test_pairs_share_a_block_that_neither_leaves_out():
+    """Whatever keys are common: by an order that all sets agree on, the first ones go and a linked pair still meets."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+
+    def indexed(elements, percent, spare):
+        out = set()
+        for keys, leave in jaccard.blocks(elements, percent, spare):
+            # Small remainders stand for common keys; many keys are equally common.
+            out.update(sorted(keys.tolist(), key=lambda k: (k // 8 % 7, k))[leave:])
+        return out
+
+    met = 0
+    for n in [5, 9, 20, 40, 100, 333, 1000]:
+        for percent, spare in [(80, 0.25), (80, 1.0), (90, 0.5), (60, 0.25)]:
+            for _ in range(25):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                out = rng.integers(0, len(a) * (100 - percent) // 100 + 1)
+                most = 0
+                while 100 * (len(a) - out) >= percent * (len(a) + most + 1):
+                    most += 1
+                b = np.unique(np.concatenate([rng.permutation(a)[out:], rng.integers(0, 1 << 63, most, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+                    assert indexed(a, percent, spare) & indexed(b, percent, spare)
+                    met += 1
+    assert met > 300
+
+
+@pytest.mark.parametrize("spare", [0.002, 0.25, 1.0])
+def test_components_at_lower_similarity(spark, spare):
+    """Shared passages of half a text and copies of copies, with common keys left out."""
+    rows = ODD + prose(5, 200) + family(4, 60, 60, 14)
+    want = components(rows, 80, 5)
+    got = jaccard.linked_components(frame(spark, rows), shingle=5, percent=80, spare=spare).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(((i, *want[(i, t)]) for i, t in rows), key=repr)
+
+
 def test_representatives(spark):
     rows = ODD + [(100, "q w e r t y"), (101, "q w e r t y"), (102, "q w e r t z u")]
     docs = frame(spark, rows)

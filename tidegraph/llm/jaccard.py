@@ -2,8 +2,9 @@
 
 *Blocks by position.* The hash space is cut at fixed positions into slightly more blocks than the greatest number of elements
 two linked sets of a size class can differ in, so two linked sets have a block with the same elements. The index has one
-list per block content: everything outside equal blocks is skipped, and unrelated sets hardly ever meet, however common
-some of their n-grams are.
+list per block content: everything outside equal blocks is skipped. With ``spare`` blocks more, two linked sets have that many
+equal blocks more, so every set may leave out its ``spare`` most common ones (of all orders that sets agree on, one by
+frequency leaves out the passages that unrelated texts share) and the last of the equal blocks is still in both.
 
 *Answers derived from similar sets.* The sets of a list are not compared with each other but with one pivot, the set that
 shares most lists. A set linked to the pivot takes over its component. What is left are sets not linked to their
@@ -27,10 +28,15 @@ from .common import mixed, rolled, stored, word_hashes
 PERCENT = 90
 SHINGLE = 3
 CLASS_GROWTH = 1.4
+SPARE = 0.002
+"""Blocks that a set may leave out, as a share of the elements two linked sets can differ in. Similarities near 0.9 have large
+blocks, which unrelated sets hardly share; lower ones need more."""
+
+KEYS_AT_ONCE = 200_000
 BROADCAST_IDS = 500_000
 """Ids, or pairs of them, sent to all executors at most; more are joined by a shuffle."""
 
-SETS = "id long, sid long, n long, keys array<long>"
+SETS = "id long, sid long, n long"
 
 
 def set_of(hashes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -53,48 +59,86 @@ def _bounds(limit: int = 1 << 40) -> list[int]:
 BOUNDS = _bounds()
 
 
-def block_keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the set's blocks; two different sets that are linked share one.
+def blocks(elements: np.ndarray, percent: int = PERCENT, spare: float = SPARE) -> list[tuple[np.ndarray, int]]:
+    """Keys of the set's blocks and how many of them, the most common, may be left out, for each size class of the set.
 
-    A set whose size may be linked across the upper bound of its size class is also indexed in the next class. A class has as
-    many blocks as its sets can differ in, plus one, plus a few: sets with no more empty blocks than those few need
-    no key for an empty block, since some equal block has elements; others have one.
+    Two different sets that are linked share one key after that. A set whose size may be linked across the upper bound of its
+    size class is also indexed in the next classes; the lowest three bits of a key tell them apart. A class has as
+    many blocks as its sets can differ in, plus one, plus the spare ones. Empty blocks count as the most common: a set with more
+    of them than spare blocks indexes them too and leaves out none, another indexes none and leaves out so many less.
     """
     n, out = len(elements), []
     at = bisect_right(BOUNDS, n) - 1
-    for c in (at, at + 1) if n * 100 >= percent * BOUNDS[at + 1] else (at,):
+    for c in range(at, len(BOUNDS) - 1):
+        if c > at and n * 100 < percent * BOUNDS[c]:
+            break
         differ = 2 * (BOUNDS[c + 1] - 1) * (100 - percent) // (100 + percent)
         if not differ:
             continue
-        spare = 1 + differ // 500
-        k = differ + 1 + spare
+        extra = 1 + int(differ * spare)
+        k = differ + 1 + extra
         block = ((mixed(elements ^ np.uint64(0xA5A5A5A5)) >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
         sums, filled = np.zeros(k, np.uint64), np.bincount(block, minlength=k) > 0
         np.add.at(sums, block, mixed(elements + np.uint64(0x5EED)))
         keys = mixed(sums + mixed(np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c + 1)))
-        out.append(keys if (~filled).sum() > spare else keys[filled])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        keys = (keys & np.uint64(2**64 - 8)) | np.uint64(c & 7)
+        empty = int((~filled).sum())
+        out.append((keys, 0) if empty > extra else (keys[filled], extra - empty))
+    return out
+
 
+def block_keys(elements: np.ndarray, percent: int = PERCENT, spare: float = SPARE) -> np.ndarray:
+    """All keys of ``blocks``."""
+    return np.concatenate([np.empty(0, np.uint64), *[keys for keys, _ in blocks(elements, percent, spare)]])
 
-def _sets(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Size, hash and block keys of every set; a task sends the keys of equal sets once."""
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """Size and hash of every set."""
     def run(batches):
-        sent = set()
         for batch in batches:
-            sids, sizes, keys = [], [], []
+            sids, sizes = [], []
+            for body in batch.column(1).to_pylist():
+                elements = set_of(word_hashes(body.lower() if body else None), shingle)
+                sids.append(xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63))
+                sizes.append(len(elements))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "sid", "n"])
+
+    return stored(docs.mapInArrow(run, SETS), "sets")
+
+
+def _indexed(docs: DataFrame, percent: int, shingle: int, spare: float) -> DataFrame:
+    """``sid``, ``key`` and ``leave`` (keys its class may leave out) of every block; a task sends the keys of equal sets once.
+
+    The keys are many times the ids: they are made where they are used, and not stored.
+    """
+    def run(batches):
+        sent, sids, keys, leave, held = set(), [], [], [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sids)), pa.array(np.concatenate(keys).view(np.int64)),
+                                               pa.array(np.concatenate(leave))], names=["sid", "key", "leave"])
+
+        for batch in batches:
             for body in batch.column(1).to_pylist():
                 elements = set_of(word_hashes(body.lower() if body else None), shingle)
                 sid = xxhash.xxh3_64_intdigest(elements.tobytes()) - (1 << 63)
-                keys.append([] if sid in sent else block_keys(elements, percent).view(np.int64))
+                if sid in sent:
+                    continue
                 if len(sent) > 1_000_000:
                     sent.clear()
                 sent.add(sid)
-                sids.append(sid)
-                sizes.append(len(elements))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64()))], names=["id", "sid", "n", "keys"])
+                for own, most in blocks(elements, percent, spare):
+                    sids.append(np.full(len(own), sid, np.int64))
+                    keys.append(own)
+                    leave.append(np.full(len(own), most, np.int32))
+                    held += len(own)
+                if held > KEYS_AT_ONCE:
+                    yield flush()
+                    sids, keys, leave, held = [], [], [], 0
+        if held:
+            yield flush()
 
-    return stored(docs.mapInArrow(run, SETS), "sets")
+    return docs.mapInArrow(run, "sid long, key long, leave int")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, shingle: int, repeated_rows: bool) -> DataFrame:
@@ -233,7 +277,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE,
+                      spare: float = SPARE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the least id reachable by links, for every row.
 
     A-Z is lower-cased, words are runs of non-space. Two sets are linked when 100 times their intersection is at least
@@ -241,13 +286,16 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     rows of one id are judged by their own texts, null ids count as no id (the component of null ids only is null).
     """
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("body"))
-    sets = _sets(body, percent, shingle)
+    sets = _sets(body, shingle)
     nodes = settle(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
-    each = sets.select("sid", F.explode("keys").alias("key"))
-    # Keys found once, most of them, are out after a count; those of copies of one set give no pairs below.
+    each = _indexed(body, percent, shingle, spare)
+    # Keys found once, most of them, are out after a count; those of copies of one set are out after the next.
     repeated = settle(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated")
-    lists = settle(each.join(repeated, "key", "left_semi").distinct(), "lists")
-    others = lists.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
+    found = settle(each.join(repeated, "key", "left_semi").distinct(), "found")
+    others = found.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    common = Window.partitionBy("sid", F.col("key").bitwiseAND(F.lit(7))).orderBy(F.desc("others"), "key")
+    lists = settle(found.join(others, "key").withColumn("place", F.row_number().over(common)).where("place > leave").select("sid", "key"), "lists")
+    others = lists.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
     weight = lists.join(others, "key").groupBy("sid").agg(F.sum("others").alias("w"))
     pivots = lists.join(weight, "sid").groupBy("key").agg(F.max(F.struct("w", "sid"))["sid"].alias("pivot"))
     pairs = settle(lists.join(pivots, "key").where(F.col("sid") != F.col("pivot")).select("pivot", "sid").distinct(), "pairs")
