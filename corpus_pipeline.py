@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 0.8 or more of its five-word n-grams stays, the one of least id."""
-    return jaccard.representatives(docs, shingle=5, percent=80)
+    return jaccard.representatives(docs, shingle=5, percent=80, spare=0.25)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
