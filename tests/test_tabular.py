@@ -138,6 +138,16 @@ def test_p_values(spark):
     assert got[:2] == [pytest.approx(0.5)] * 2 and got[2] is None and got[3] == 0.0  # n = 4: r is uniform
 
 
+def test_p_values_as_continued_fraction(spark):
+    cases = [(r, n) for r in (0.0, 1e-4, 0.05, -0.2, 0.31, 0.32, -0.6, 0.95, 0.999999, -1.0) for n in (3, 4, 5, 6, 7, 12, 61, 240)]
+    odd = [(None, 9), (0.5, None), (float("nan"), 9), (0.5, 1), (1.0000000000000002, 8)]
+    df = spark.createDataFrame([(*c, i) for i, c in enumerate(cases + odd)], "r double, n long, i int")
+    got = [r.p for r in df.withColumn("p", correlation_p("r", "n")).orderBy("i").collect()]
+    for (r, n), p in zip(cases, got):
+        assert p == pytest.approx(_tail(1 - r * r, (n - 2) / 2, 0.5), rel=1e-9, abs=0 if r * r >= 0.1 else 1e-13), (r, n)
+    assert got[len(cases):] == [None, None, None, None, 0.0]
+
+
 def test_series_pairs_and_lags(spark):
     months = [dt.date(2021, m, 1) for m in range(1, 9)]
     x = [1.0, 2.0, 2.0, 5.0, 4.0, 8.0, 7.0, 9.0]
