@@ -162,10 +162,27 @@ def closeness(arcs, weighted):
     return out
 
 
+def sparse_graphs(count=12, seed=3):
+    """Trees with few further links, rings on a stem, and loose parts."""
+    rng = random.Random(seed)
+    for i in range(count):
+        size = rng.randint(5, 40)
+        tree = [(f"v{j:02d}", f"v{rng.randrange(max(0, j - 1 - i), j):02d}", 1) for j in range(1, size) if rng.random() > 0.05]
+        more = [(f"v{rng.randrange(size):02d}", f"v{rng.randrange(size):02d}", 1) for _ in range(rng.randint(0, size // 4))]
+        names = [f"v{j:02d}" for j in range(size)]
+        shuffled = dict(zip(names, rng.sample(names, size)))
+        yield [(shuffled[a], shuffled[b], w) for a, b, w in dict.fromkeys(tree + more)] or [("a", "a", 1)]
+
+
 def removal(arcs):
+    drops = removal_drops(arcs).values()
+    return sum(drops) / len(drops), max(drops)
+
+
+def removal_drops(arcs):
     largest = lambda labels: max((list(labels.values()).count(x) for x in labels.values()), default=0)
     n, whole = neighbours(arcs), largest(components(arcs, False))
-    drops = []
+    drops = {}
     for gone in n:
         left, size = set(n) - {gone}, 0
         while left:
@@ -176,8 +193,8 @@ def removal(arcs):
                 part += len(near)
                 todo += near
             size = max(size, part)
-        drops.append((whole - size) / whole)
-    return sum(drops) / len(drops), max(drops)
+        drops[gone] = (whole - size) / whole
+    return drops
 
 
 def modularity(arcs, part):

@@ -7,7 +7,7 @@ import graph_cases as plain
 from pyspark.sql import functions as F
 
 from tidegraph import schemas
-from tidegraph.operators import build, community, components, kcore, local, pagerank, paths, sampling, tables
+from tidegraph.operators import blocks, build, community, components, kcore, local, pagerank, paths, sampling, tables
 from tidegraph.operators.build import K, GraphSet
 
 
@@ -104,13 +104,24 @@ def test_path_statistics(split):
             assert got[name] == pytest.approx((sum(far) / len(far), max(far)))
 
 
-def test_removal_impact(g):
-    got = per_graph(components.removal_impact(g, sampling.sample_nodes(g.nodes)), "avg_node_removal_impact", "max_node_removal_impact")
+@pytest.mark.parametrize("which", ["g", "split"])
+def test_removal_impact(which, request):
+    g = request.getfixturevalue(which)
+    got = per_graph(blocks.removal_impact(g, sampling.sample_nodes(g.nodes)), "avg_node_removal_impact", "max_node_removal_impact")
     assert got.keys() == GRAPHS.keys()
     for name, arcs in GRAPHS.items():
         assert got[name] == pytest.approx(plain.removal(arcs)), name
 
 
+def test_removal_of_every_node(spark):
+    """Random sparse graphs, where nodes cut off several parts, against a search of the components without each node."""
+    graphs = {f"sparse{i}": sparse for i, sparse in enumerate(plain.sparse_graphs())}
+    edges = spark.createDataFrame([(name, DAY, a, b, w, 0.0, 0.0) for name, arcs in graphs.items() for a, b, w in arcs], schemas.EDGES)
+    with GraphSet(edges) as g:
+        got = per_node(g.named(blocks.removal_drops(g).select("node_id", "drop")), "drop")
+    same(got, {name: plain.removal_drops(arcs) for name, arcs in graphs.items()})
+
+
 @pytest.mark.parametrize("which,task_links", [("g", community.TASK_LINKS), ("g", 0), ("split", 8)])
 def test_louvain(which, task_links, request):
     """In one task each, in rounds over all tasks, and in rounds until a level has become small."""
@@ -158,6 +169,7 @@ def test_duplicates_and_nulls(spark):
 
 def test_empty_input(spark):
     g = GraphSet(spark.createDataFrame([], schemas.EDGES))
+    assert blocks.removal_impact(g, sampling.sample_nodes(g.nodes)).isEmpty()
     assert components.weak_components(g).isEmpty() and pagerank.pagerank(g).isEmpty() and local.clustering(g).isEmpty()
 
 

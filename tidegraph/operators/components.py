@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import safe_ratio
 from ..functions.skew import hot_join, with_small
 from ..session import settle, settle_flagged
-from .build import K, GraphSet, Links, both_ways, induced
+from .build import K, GraphSet, Links, induced
 
 N = [*K, "node_id"]
 
@@ -56,9 +56,14 @@ def weak_labels(nodes: DataFrame, links: Links, slot_rows: int) -> DataFrame:
     return state.drop("fresh")
 
 
+def weak_numbers(g: GraphSet) -> DataFrame:
+    """``component`` of every node, both by number."""
+    return g.once("weak numbers", lambda: weak_labels(g.ids, g.pair_links, g.slot_rows))
+
+
 def weak_components(g: GraphSet) -> DataFrame:
     """``component`` of every node."""
-    return g.once("weak", lambda: g.named(weak_labels(g.ids, g.pair_links, g.slot_rows), "component"))
+    return g.once("weak", lambda: g.named(weak_numbers(g), "component"))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
@@ -165,25 +170,3 @@ def cycle_edge_ratio(g: GraphSet, scc: DataFrame) -> DataFrame:
     inside = (F.col("source_scc") == F.col("target_scc")).cast("double")
     return label_ends(g.arcs.select(*K, "source", "target"), scc, "scc").groupBy(*K).agg(
         F.avg(inside).alias("cycle_edge_ratio"))
-
-
-def removal_impact(g: GraphSet, trials: DataFrame) -> DataFrame:
-    """Relative drop of the largest weak component after deleting each trial node; mean and maximum.
-
-    One component run over (trial, node) answers all trials. ``trials`` holds at most
-    AT_MOST nodes per graph, so the copies grow linearly with the graphs.
-    """
-    size = lambda df, *keys: df.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size")).groupBy(*keys).agg(
-        F.max("size").alias("size"))
-    whole = size(weak_components(g).join(g.graphs, K), "gid")
-    trial = settle(g.numbers_of(trials.select(*N)).select("gid", F.col("node_id").alias("trial")))
-    count = trial.count()
-    nodes = settle(with_small(g.ids, trial, ["gid"], rows=count).where(F.col("node_id") != F.col("trial")).select("trial", "node_id"))
-    kept = with_small(g.simple_pairs, trial, ["gid"], rows=count).where((F.col("a") != F.col("trial")) & (F.col("b") != F.col("trial")))
-    links = Links(settle(kept.select("trial", both_ways())), g.slot_rows, ("trial", "node_id"))
-    rest = settle(size(weak_labels(nodes, links, g.slot_rows), "trial").withColumnRenamed("size", "rest"))
-    links.close()
-    impact = (with_small(trial.join(rest, "trial", "left"), settle(whole), ["gid"], rows=g.months)
-              .withColumn("impact", 1 - F.coalesce("rest", F.lit(0)) / F.col("size")))
-    return g.by_graph(impact.groupBy("gid").agg(F.avg("impact").alias("avg_node_removal_impact"),
-                                                F.max("impact").alias("max_node_removal_impact")))

@@ -10,7 +10,7 @@ from .. import schemas
 from ..functions.scalars import display_name, row_id
 from ..functions.skew import top_rows
 from ..session import settle
-from . import community, components, kcore, local, pagerank, paths
+from . import blocks, community, components, kcore, local, pagerank, paths
 from .build import K, GraphSet
 from .sampling import sample_nodes
 
@@ -114,7 +114,7 @@ def time_summary(g: GraphSet, partition: DataFrame | None = None, seed: int = 42
         components.largest_component(weak).select(*K, "largest_component_size"), local.degree_summary(degree),
         local.assortativity(g.arcs, degree).withColumnRenamed("assortativity", "degree_assortativity"),
         local.reciprocity(g.arcs), kcore.core_summary(kcore.core_numbers(g)),
-        components.removal_impact(g, sample_nodes(g.nodes, seed)), local.rich_club_density(g.arcs, degree),
+        blocks.removal_impact(g, sample_nodes(g.nodes, seed)), local.rich_club_density(g.arcs, degree),
         components.cycle_edge_ratio(g, components.strong_components(g)), community.modularity(g, partition, loops=True))
 
 

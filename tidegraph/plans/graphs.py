@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.skew import top_rows
-from ..operators import build, community, components, distributions, kcore, local, pagerank, paths, sampling, tables
+from ..operators import blocks, build, community, components, distributions, kcore, local, pagerank, paths, sampling, tables
 from ..operators.build import K, GraphSet
 from ..session import scratch_path, settle
 from .. import schemas
@@ -468,10 +468,29 @@ def g_louvain(spark, sf):
         return settle(community.louvain(g))
 
 
-@query("g_removal_impact")
+REMOVED = """cut(graph_id, month_start, gone, node_id, label) USING KEY (graph_id, month_start, gone, node_id) AS (
+  SELECT t.graph_id, t.month_start, t.gone, n.node_id, n.node_id FROM
+    (SELECT graph_id, month_start, node_id AS gone FROM drawn UNION ALL SELECT DISTINCT graph_id, month_start, '' FROM nodes) t
+    JOIN nodes n ON n.graph_id = t.graph_id AND n.month_start = t.month_start AND n.node_id <> t.gone
+  UNION
+  SELECT c.graph_id, c.month_start, c.gone, c.node_id, c.label FROM (
+    SELECT h.graph_id, h.month_start, h.gone, l.other AS node_id, min(h.label) AS label FROM cut h
+      JOIN linked l ON l.graph_id = h.graph_id AND l.month_start = h.month_start AND l.node_id = h.node_id AND l.other <> h.gone GROUP BY 1, 2, 3, 4) c
+    JOIN recurring.cut r ON r.graph_id = c.graph_id AND r.month_start = c.month_start AND r.gone = c.gone AND r.node_id = c.node_id
+    WHERE c.label < r.label),
+left_over AS (SELECT graph_id, month_start, gone, max(size) AS size FROM
+  (SELECT graph_id, month_start, gone, label, count(*) AS size FROM cut GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+drops AS (SELECT d.graph_id, d.month_start, d.node_id, 1 - coalesce(c.size, 0) / CAST(w.size AS DOUBLE) AS drop FROM drawn d
+  JOIN left_over w ON w.graph_id = d.graph_id AND w.month_start = d.month_start AND w.gone = ''
+  LEFT JOIN left_over c ON c.graph_id = d.graph_id AND c.month_start = d.month_start AND c.gone = d.node_id)"""
+
+
+@query("g_removal_impact", with_edges("""SELECT graph_id, month_start, round(avg(drop), 6) AS avg_node_removal_impact, round(max(drop), 6) AS max_node_removal_impact
+  FROM drops GROUP BY 1, 2""", extra=f"{NODES}, {PAIRS}, {_drawn('nodes')}, {REMOVED}"))
 def g_removal_impact(spark, sf):
+    """Every drawn node is deleted in SQL and the components are searched anew; here one search serves all nodes."""
     with graphs(spark, sf) as g:
-        return rounded(settle(components.removal_impact(g, sampling.sample_nodes(g.nodes))))
+        return rounded(settle(blocks.removal_impact(g, sampling.sample_nodes(g.nodes))))
 
 
 # Distributions ----------------------------------------------------------------------------------------------------
