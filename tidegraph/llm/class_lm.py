@@ -59,21 +59,20 @@ def _coded(docs: DataFrame, held_out: Column, id_col: str, text: str) -> tuple[D
             for lo in range(0, whole.num_rows, BLOCK_DOCS):
                 batch = whole.slice(lo, BLOCK_DOCS)
                 ids, held, bodies = (batch.column(k).to_pylist() for k in range(3))
-                index = _Index()
-                parts = [np.fromiter(map(index.__getitem__, words), np.uint32, len(words))
-                         for words in map(space_words, (b.lower() if b else None for b in bodies))]
+                parts = [pa.array(space_words(b.lower() if b else None), pa.binary()) for b in bodies]
+                sizes, found = np.array([len(p) for p in parts], np.int32), pa.concat_arrays(parts).dictionary_encode()
                 # Words in the order of their keys: those of a part of the vocabulary stand together.
-                keys = _buckets(list(index))
+                keys = _buckets(found.dictionary.to_pylist())
                 order = np.argsort(keys)
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order), dtype=np.uint32)
-                codes, names = rank[np.concatenate(parts)], list(index)
-                keep = np.repeat(~np.array(held, bool), [len(p) for p in parts])
-                seen = np.bincount(codes[keep], minlength=len(index))
-                row = {"block": (task << 32) + number, "ids": [i or 0 for i in ids], "has_id": [i is not None for i in ids], "held": held,
-                       "sizes": [len(p) for p in parts], "codes": pack(_planes(codes)), "keys": keys[order].tobytes(), "words": [names[k] for k in order], "seen": seen.tolist()}
+                codes = rank[found.indices.to_numpy()]
+                seen = np.bincount(codes[np.repeat(~np.array(held, bool), sizes)], minlength=len(keys)).astype(np.int32)
+                row = [pa.array([(task << 32) + number]), _one([i or 0 for i in ids], pa.int64()), _one([i is not None for i in ids], pa.bool_()),
+                       _one(held, pa.bool_()), _one(sizes, pa.int32()), pa.array([pack(_planes(codes))]), pa.array([keys[order].tobytes()]),
+                       _one(found.dictionary.take(pa.array(order)), pa.binary()), _one(seen, pa.int32())]
                 number += 1
-                yield pa.RecordBatch.from_pylist([row], schema=BLOCK_ARROW)
+                yield pa.RecordBatch.from_arrays(row, schema=BLOCK_ARROW)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text).cast("binary").alias("body"))
     return _in_buckets(rows.mapInArrow(run, BLOCK))
@@ -92,10 +91,10 @@ BLOCK_ARROW = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), (
                          ("words", pa.list_(pa.binary())), ("seen", pa.list_(pa.int32()))])
 
 
-class _Index(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+def _one(values, kind: pa.DataType) -> pa.ListArray:
+    """A column of one row that holds ``values``."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _planes(codes: np.ndarray) -> bytes:
