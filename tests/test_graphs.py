@@ -180,3 +180,16 @@ def test_node_table_is_complete(g):
     network = tables.network_metrics(g)
     assert set(schemas.NETWORK_METRICS.names) <= set(network.columns)
     assert network.count() == len(GRAPHS) and network.where("row_id IS NULL").isEmpty()
+
+
+def test_tables_of_several_sources(spark, edges, tmp_path):
+    """Each source's rows are those it has when it is computed alone, and storing again replaces them."""
+    sources = {name: edges.where(F.col("graph_id") == of) for name, of in (("first", "bridge"), ("second", "random0"))}
+    single = lambda nodes: nodes.select(*K, "node_id", F.col("node_id").alias("community"))
+    folders = [tables.store_networks(sources, str(tmp_path), single) for _ in range(2)][-1]
+    nodes, network = (spark.read.parquet(f) for f in folders)
+    assert {r["graph_id"]: r["count"] for r in nodes.groupBy("graph_id").count().collect()} == {
+        "first": len(plain.nodes_of(GRAPHS["bridge"])), "second": len(plain.nodes_of(GRAPHS["random0"]))}
+    same({k: v for k, v in per_node(nodes, "clustering").items()}, {"first": plain.clustering(GRAPHS["bridge"]), "second": plain.clustering(GRAPHS["random0"])})
+    assert per_graph(network, "table_name", "modularity_classes") == {
+        "first": ("first", len(plain.nodes_of(GRAPHS["bridge"]))), "second": ("second", len(plain.nodes_of(GRAPHS["random0"])))}

@@ -53,6 +53,21 @@ def test_increment_finds_ids_stored_with_another_time(spark, tmp_path):
     assert incremental.score_increment(again.unionByName(tweets(spark, "d", start=7)), target) == 1
 
 
+def test_times_of_a_run(monkeypatch):
+    """Batches of 2 and 3 seconds, 1 second before the first and 4 between them; a failed batch counts as waiting."""
+    clock = iter([0.0, 1.0, 3.0, 4.0, 7.0, 10.0])
+    monkeypatch.setattr(incremental.time, "perf_counter", lambda: next(clock))
+    times = incremental.RunTimes()
+    assert times.batch(lambda: 10) == 10
+    with pytest.raises(ZeroDivisionError):
+        times.batch(lambda: 1 // 0)
+    times.batch(lambda: 30)
+    assert times.summary() == {"total_processed": 40, "batches": 2, "mean_batch_rows": 20.0, "mean_batch_seconds": 5.0,
+                               "mean_inference_seconds": 2.5, "mean_queue_seconds": 2.5, "per_second": 4.0}
+    monkeypatch.undo()
+    assert set(incremental.RunTimes().summary().values()) == {0}
+
+
 def test_stream_repeated_files_add_nothing(spark, tmp_path):
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     tweets(spark, "a", "b").write.parquet(source)

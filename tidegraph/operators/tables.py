@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,6 +11,7 @@ from .. import schemas
 from ..functions.scalars import display_name, row_id
 from ..functions.skew import top_rows
 from ..session import settle
+from ..sources import writers
 from . import blocks, community, components, kcore, local, pagerank, paths
 from .build import K, GraphSet
 from .sampling import sample_nodes
@@ -60,6 +62,23 @@ def all_networks(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, named)
 
 
+def store_networks(sources: dict[str, DataFrame], path: str, partition: Callable[[DataFrame], DataFrame] | None = None,
+                   seed: int = 42) -> tuple[str, str]:
+    """Node metrics and network metrics of several edge tables, stored under ``path``; returns the two folders.
+
+    All sources and months are computed in the same jobs and stored by source and month, so one source's table is one
+    folder ``graph_id=…``. ``partition`` gives the communities of a node set; Louvain's are used without it.
+    """
+    folders = f"{path}/node_metrics", f"{path}/network_metrics"
+    with GraphSet(all_networks(sources)) as g:
+        communities = partition(g.nodes) if partition else None
+        for table, schema, folder in ((node_metrics(g, seed=seed), schemas.NODE_METRICS, folders[0]),
+                                      (network_metrics(g, communities), schemas.NETWORK_METRICS, folders[1])):
+            rows = writers.conform(table, schemas.of_sources(schema)).hint("rebalance", *K)
+            rows.write.partitionBy(*K).option("partitionOverwriteMode", "static").mode("overwrite").parquet(folder)
+    return folders
+
+
 def politician_nodes(nodes: DataFrame, politicians: DataFrame) -> DataFrame:
     """Politicians that occur in a month's graph, with name and party."""
     named = politicians.select(F.col("twitter_handle").alias("node_id"), "official_name", "party")

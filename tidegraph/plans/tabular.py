@@ -473,6 +473,21 @@ def i_score_stream(spark, sf):
     return rounded(incremental.stored_scores(spark, target))
 
 
+@query("a_stream_times", f"""WITH {TWEETS} SELECT count(*) AS total_processed, 4 AS batches, count(*) / 4.0::DOUBLE AS mean_batch_rows, true AS timed FROM tweets
+  WHERE regexp_matches(text, '\\S')""")
+def a_stream_times(spark, sf):
+    """Four batches, one a file; the seconds differ from run to run, so that they add up is what is compared."""
+    source, target, times = scratch_path(spark, "arriving"), scratch_path(spark, "stream-scored"), incremental.RunTimes()
+    fixtures.tweets(spark, sf).repartition(4).write.parquet(source)
+    incremental.score_stream(spark, source, target, scratch_path(spark, "stream-state"), files_per_batch=1, times=times).awaitTermination()
+    found = times.summary()
+    sound = (found["mean_inference_seconds"] > 0 and found["mean_queue_seconds"] > 0 and found["per_second"] > 0
+             and abs(found["mean_inference_seconds"] + found["mean_queue_seconds"] - found["mean_batch_seconds"]) < 1e-6)
+    return incremental.stored_scores(spark, target).agg(F.count(F.lit(1)).alias("total_processed")).select(
+        "total_processed", F.lit(found["batches"]).alias("batches"), F.lit(found["mean_batch_rows"]).alias("mean_batch_rows"),
+        ((F.col("total_processed") == found["total_processed"]) & F.lit(sound)).alias("timed"))
+
+
 @query("i_weekly_stream", f"""WITH {SCORES} SELECT CAST(date_trunc('week', recorded_at) AS TIMESTAMP) AS week_start, count(tweet_id) AS total_tweets,
   round(avg(toxicity_score), 6) AS avg_toxicity_score FROM scored GROUP BY 1""")
 def i_weekly_stream(spark, sf):

@@ -42,3 +42,8 @@ HASHTAGS = _struct("hashtag string, politician_users bigint")
 HASHTAGS_CLASSIFIED = _struct("hashtag string, politician_users bigint, categories string, confidence double")
 POLITICIANS = _struct("twitter_handle string, official_name string, party string")
 EVALUATION = _struct("text string, sentiment string, toxicity_label string")
+
+
+def of_sources(schema: T.StructType) -> T.StructType:
+    """``schema`` for a table that holds several sources, each under its ``graph_id``."""
+    return T.StructType([*schema.fields, T.StructField("graph_id", T.StringType())])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -47,14 +49,51 @@ def _append(scored: DataFrame, target: str) -> int:
     return seen.get.get("rows") or 0
 
 
+@dataclass
+class RunTimes:
+    """What the batches of a run add up to; running sums, so its size does not grow with the run.
+
+    A batch's inference is the job that reads, scores and appends its rows; its queue time is what passes between the
+    start of the run or the end of the batch before and that job. The clock starts when the object is made.
+    """
+
+    batches: int = 0
+    rows: int = 0
+    inference: float = 0.0
+    queue: float = 0.0
+
+    def __post_init__(self) -> None:
+        self._since = time.perf_counter()
+
+    def batch(self, work: Callable[[], int]) -> int:
+        """Run one batch, which returns its number of rows. A batch that fails is not counted; its time is the next one's queue time."""
+        start = time.perf_counter()
+        rows = work()
+        end = time.perf_counter()
+        self.batches, self.rows = self.batches + 1, self.rows + rows
+        self.inference, self.queue, self._since = self.inference + end - start, self.queue + start - self._since, end
+        return rows
+
+    def summary(self) -> dict[str, float]:
+        """Totals, means per batch, and rows per second; 0 for a run without batches."""
+        n, whole = max(self.batches, 1), self.inference + self.queue
+        return {"total_processed": self.rows, "batches": self.batches, "mean_batch_rows": self.rows / n,
+                "mean_batch_seconds": whole / n, "mean_inference_seconds": self.inference / n, "mean_queue_seconds": self.queue / n,
+                "per_second": self.rows / whole if whole else 0.0}
+
+
 def score_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 8,
-                 score: Score = score_by_lexicon) -> StreamingQuery:
-    """Score posts as files arrive. A batch that is run again finds its rows done and adds none."""
+                 score: Score = score_by_lexicon, times: RunTimes | None = None) -> StreamingQuery:
+    """Score posts as files arrive. A batch that is run again finds its rows done and adds none.
+
+    ``times`` adds up how long the batches take.
+    """
+    times = times or RunTimes()
     arriving = (spark.readStream.schema(schemas.TWEETS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
                 .where(not_blank(F.col("text"))))
 
     def write(batch: DataFrame, _: int) -> None:
-        score_increment(batch, target, score=score)
+        times.batch(lambda: score_increment(batch, target, score=score))
 
     return (arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -69,7 +108,6 @@ def weekly_stream(scored: DataFrame, late: str = "7 days") -> DataFrame:
 
 def run_statistics(scored: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, float]:
     """Write the scored posts and return how many there were, with the seconds and rows per second it took."""
-    import time
     seen, start = Observation(), time.perf_counter()
     write(scored.observe(seen, F.count(F.lit(1)).alias("rows")))
     seconds, rows = time.perf_counter() - start, seen.get.get("rows") or 0
