@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import schemas
 from ..functions.scalars import display_name, row_id
@@ -62,20 +62,31 @@ def all_networks(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, named)
 
 
+def store_node_metrics(g: GraphSet, folder: str, seed: int = 42) -> None:
+    """Node metrics of all sources, stored by source and month: one source's table is one folder ``graph_id=…``."""
+    _store(node_metrics(g, seed=seed), schemas.NODE_METRICS, folder)
+
+
+def store_network_metrics(g: GraphSet, folder: str, partition: DataFrame | None = None) -> None:
+    """Network metrics of all sources, stored as the node metrics are; Louvain's communities are used without ``partition``."""
+    _store(network_metrics(g, partition), schemas.NETWORK_METRICS, folder)
+
+
+def _store(table: DataFrame, schema: T.StructType, folder: str) -> None:
+    rows = writers.conform(table, schemas.of_sources(schema)).hint("rebalance", *K)
+    rows.write.partitionBy(*K).option("partitionOverwriteMode", "static").mode("overwrite").parquet(folder)
+
+
 def store_networks(sources: dict[str, DataFrame], path: str, partition: Callable[[DataFrame], DataFrame] | None = None,
                    seed: int = 42) -> tuple[str, str]:
     """Node metrics and network metrics of several edge tables, stored under ``path``; returns the two folders.
 
-    All sources and months are computed in the same jobs and stored by source and month, so one source's table is one
-    folder ``graph_id=…``. ``partition`` gives the communities of a node set; Louvain's are used without it.
+    All sources and months are computed in the same jobs. ``partition`` gives the communities of a node set.
     """
     folders = f"{path}/node_metrics", f"{path}/network_metrics"
     with GraphSet(all_networks(sources)) as g:
-        communities = partition(g.nodes) if partition else None
-        for table, schema, folder in ((node_metrics(g, seed=seed), schemas.NODE_METRICS, folders[0]),
-                                      (network_metrics(g, communities), schemas.NETWORK_METRICS, folders[1])):
-            rows = writers.conform(table, schemas.of_sources(schema)).hint("rebalance", *K)
-            rows.write.partitionBy(*K).option("partitionOverwriteMode", "static").mode("overwrite").parquet(folder)
+        store_node_metrics(g, folders[0], seed)
+        store_network_metrics(g, folders[1], partition(g.nodes) if partition else None)
     return folders
 
 

@@ -653,29 +653,29 @@ def m_all_networks(spark, sf):
     return local.sizes(build.simple_arcs(tables.all_networks(named)))
 
 
-def _stored_networks(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """Both tables of both sources, computed and stored once per application, under a partition that SQL can state."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _networks:
-        edges = fixtures.edges(spark, sf)
-        named = {f"{name}_network": edges.where(F.col("graph_id") == name) for name in ("supplier", "part")}
-        _networks[key] = tables.store_networks(named, scratch_path(spark, "networks"), lettered)
-    return _networks[key]
-
-
-_networks: dict[tuple[str, str], tuple[str, str]] = {}
+def _sources(spark: SparkSession, sf: str) -> GraphSet:
+    """Two sources, each a table of its own, as graphs of one set."""
+    edges = fixtures.edges(spark, sf)
+    return GraphSet(tables.all_networks({f"{name}_network": edges.where(F.col("graph_id") == name) for name in ("supplier", "part")}))
 
 
 @query("m_all_node_tables", with_edges(f"SELECT * REPLACE (graph_id || '_network' AS graph_id) FROM ({NODE_SELECT} FROM node_rows)", extra=NODE_ROWS))
 def m_all_node_tables(spark, sf):
-    return rounded(spark.read.schema(schemas.of_sources(schemas.NODE_METRICS)).parquet(_stored_networks(spark, sf)[0]))
+    path = scratch_path(spark, "all-nodes")
+    with _sources(spark, sf) as g:
+        tables.store_node_metrics(g, path)
+    return rounded(spark.read.schema(schemas.of_sources(schemas.NODE_METRICS)).parquet(path))
 
 
 @query("m_all_network_tables", with_edges(f"""SELECT * EXCLUDE (max_node_toxicity, min_node_toxicity)
   REPLACE (graph_id || '_network' AS graph_id, table_name || '_network' AS table_name, row_id || '_network' AS row_id) FROM ({NETWORK})""", extra=_once(
     SIZES, STRONG, TRANSITIVITY, DEGREES, FLOW, CORES, RICH.replace("neighbour", "rich_neighbour"), TRIANGLES, SCORED)))
 def m_all_network_tables(spark, sf):
-    return rounded(spark.read.schema(schemas.of_sources(schemas.NETWORK_METRICS)).parquet(_stored_networks(spark, sf)[1]))
+    """Stored and read again, under a partition that SQL can state."""
+    path = scratch_path(spark, "all-networks")
+    with _sources(spark, sf) as g:
+        tables.store_network_metrics(g, path, lettered(g.nodes))
+    return rounded(spark.read.schema(schemas.of_sources(schemas.NETWORK_METRICS)).parquet(path))
 
 
 POLITICIAN_ROWS = f"""{NODE_ROWS}, {POLITICIANS},
