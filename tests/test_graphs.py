@@ -302,3 +302,13 @@ def test_modularity_in_graphs_that_a_task_holds(edges, monkeypatch):
         alone = {k: v[0] for k, v in per_graph(community.modularity(g, part(g)), "modularity").items()}
     for name in GRAPHS:
         assert got[name] == alone[name] == (None if want[name] is None else pytest.approx(want[name])), name
+
+
+def test_graphs_without_a_key_keep_a_row_per_graph(spark):
+    """A graph whose id or month is null has null path lengths and modularity and no closed triple, as in rounds."""
+    edges = spark.createDataFrame([(k, DAY, a, b, 1, 0.0, 0.0) for k in ("x", None) for a, b in ("ab", "bc")], schemas.EDGES)
+    with GraphSet(edges) as g:
+        part = g.nodes.select(*K, "node_id", F.col("node_id").alias("community"))
+        assert per_graph(paths.path_stats(g), "diameter") == {"x": (2.0,), None: (None,)}
+        assert per_graph(community.modularity(g, part), "modularity")[None] == (None,)
+        assert per_graph(local.transitivity(g), "transitivity") == {"x": (0.0,), None: (0.0,)}
