@@ -156,6 +156,16 @@ def gains(arcs, part):
             and plain.modularity(arcs, {v: x if c == y else c for v, c in part.items()}) > now + 1e-9]
 
 
+def test_louvain_from_arcs(edges):
+    """Graphs that a task holds need neither node numbers nor the order in which rows happen to arrive."""
+    shuffled = edges.orderBy(F.xxhash64("source", "target", "graph_id"))
+    for loops in (False, True):
+        with GraphSet(edges) as one, GraphSet(shuffled) as two:
+            first, second = (per_node(community.louvain(x, loops=loops), "community") for x in (one, two))
+            assert first == second and set(first) == set(GRAPHS)
+            assert not {"numbered", "coded", "pairs"} & {*vars(one)}
+
+
 def test_cycles_and_reciprocity(g):
     cycles = per_graph(components.cycle_edge_ratio(g, components.strong_components(g)), "cycle_edge_ratio")
     assert cycles["cycle"] == (1.0,) and cycles["triple"] == (0.0,) and cycles["loop_only"] == (1.0,)
