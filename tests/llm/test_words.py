@@ -269,3 +269,17 @@ def test_passes_over_many_blocks_of_windows(spark, capsys):
     key = lambda r: str(tuple(r))
     assert sorted(once.collect(), key=key) == sorted(many.collect(), key=key)
     assert not once.where("n_hit > 0").isEmpty()
+
+
+def test_block_keys_are_made_and_shuffled_once(spark, monkeypatch):
+    plans, settle = [], jaccard.settle
+
+    def seen(df, label="step"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df, label)
+
+    monkeypatch.setattr(jaccard, "settle", seen)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, "v w x y z")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.linked_components(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    assert sum("MapInArrow" in p for p in plans) == 1

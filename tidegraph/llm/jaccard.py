@@ -109,7 +109,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 def _indexed(docs: DataFrame, percent: int, shingle: int, spare: float) -> DataFrame:
     """``sid``, ``key`` and ``leave`` (keys its class may leave out) of every block; a task sends the keys of equal sets once.
 
-    The keys are many times the ids: they are made where they are used, and not stored.
+    The keys are many times the ids: they are shuffled once, and not stored.
     """
     def run(batches):
         sent, sids, keys, leave, held = set(), [], [], [], 0
@@ -289,9 +289,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sets = _sets(body, shingle)
     nodes = settle(sets.where("n > 0").groupBy("sid").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
     each = _indexed(body, percent, shingle, spare)
-    # Keys found once, most of them, are out after a count; those of copies of one set are out after the next.
-    repeated = settle(each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated")
-    found = settle(each.join(repeated, "key", "left_semi").distinct(), "found")
+    # Keys found once, most of them, are out after a count; those of copies of one set are out after the next. Keys and sets go
+    # through one shuffle: counted apart from the sets, the keys would take its disk space twice.
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    found = settle(each.withColumn("c", repeated).where("c > 1").select("sid", "key", "leave").distinct(), "found")
     others = found.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
     common = Window.partitionBy("sid", F.col("key").bitwiseAND(F.lit(7))).orderBy(F.desc("others"), "key")
     lists = settle(found.join(others, "key").withColumn("place", F.row_number().over(common)).where("place > leave").select("sid", "key"), "lists")
