@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import lexicon
 from ..functions.scalars import class_probability, not_blank
@@ -35,20 +35,24 @@ def score_by_models(tweets: DataFrame, sentiment: Callable[[], Scorer], toxicity
     Each argument makes a scorer; it is called once per task, so that a model is loaded
     where it runs and kept for all of the task's batches.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCORED_TWEETS.fields[:4])
+    fields = SCORED_TWEETS.fields[:4]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feel, harm = sentiment(), toxicity()
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch]
-                texts = part["text"].tolist()
+        for rows in batches:
+            for start in range(0, rows.num_rows, batch):
+                part = rows.slice(start, batch)
+                texts = part.column("text").to_pylist()
                 s, t = feel(texts), harm(texts)
-                yield part.assign(s_label=[x[0] for x in s], s_score=[float(x[1]) for x in s],
-                                  t_label=[x[0] for x in t], t_score=[float(x[1]) for x in t])
-
-    scored = tweets.where(not_blank(F.col("text"))).select("tweet_id", "user_id", "recorded_at", "text").mapInPandas(
-        run, f"{fields}, s_label string, s_score double, t_label string, t_score double")
+                # The other columns stay as they came: times need not fit a pandas timestamp.
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *[pa.array(c, kind) for found in (s, t) for c, kind in (
+                        ([x[0] for x in found], pa.string()), ([float(x[1]) for x in found], pa.float64()))]],
+                    names=schema.names)
+
+    schema = T.StructType([*fields, *T.StructType.fromDDL("s_label string, s_score double, t_label string, t_score double")])
+    posts = tweets.where(not_blank(F.col("text"))).select(*[F.col(f.name).cast(f.dataType) for f in fields])
+    scored = posts.mapInArrow(run, schema)
     return _result(scored, F.struct(F.col("s_label").alias("label"), F.col("s_score").alias("score")),
                    F.struct(F.col("t_label").alias("label"), F.col("t_score").alias("score")))
 
